@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from varlex import fixed
 from varlex.functions import text as X
 from varlex.functions.vectors import hash_embed
-from varlex.operators.knn import knn_join, rank_candidates, similarity
+from varlex.operators.knn import knn_join, similarity
 from varlex.operators.report import count_sources
 from varlex.operators.rerank import ScorerFactory, keep_best, rerank
 
@@ -89,8 +89,9 @@ def search(
     described = candidates.transform(resolve_metadata).withColumn(
         "variable_id", F.coalesce("indicator_id", "variable_id")
     )
-    ordered = rank_candidates(described).withColumn("vector_rank", F.col("rank")).drop("rank")
-    return keep_best(rerank(ordered, "query", scorer), "_n").select(
+    # Both cuts remove the tail of the ranking, so vector_rank is still the
+    # position by descending similarity and needs no second sort.
+    return keep_best(rerank(described, "query", scorer), "_n").select(
         "query_id", "query", "final_rank", "rerank_score", "vector_rank", "vector_score",
         "distance", "id", "source_dataset", "table_id", "variable_id", "variable_name", "description",
     )
