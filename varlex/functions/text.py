@@ -100,11 +100,13 @@ def contains_any(value: Column, needles: Sequence[str]) -> Column:
 
 def demographic_tags(query: Column | str) -> Column:
     """Ordered demographic labels found by substring; empty array if none."""
-    lowered = F.lower(to_column(query))
-    labels = [
-        F.when(contains_any(lowered, words), F.lit(label)) for label, words in fixed.DEMOGRAPHICS
-    ]
-    return F.array_compact(F.array(*labels))
+
+    def labels(lowered: Column) -> Column:
+        hits = [F.when(contains_any(lowered, w), F.lit(label)) for label, w in fixed.DEMOGRAPHICS]
+        return F.array_compact(F.array(*hits))
+
+    # The lambda binds the lowered text once for all substring tests.
+    return F.transform(F.array(F.lower(to_column(query))), labels)[0]
 
 
 def words(value: Column | str) -> Column:

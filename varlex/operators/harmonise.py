@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from varlex import fixed
 from varlex.functions import text as X
 from varlex.operators.ordering import ORD, number_rows
+from varlex.specs import ROW_INDEX
 
 STORE_COLUMNS = ["id", "source", "indicator_id", "short_name", "document", "metadata"]
 
 
+_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+_TECHNICAL = {ORD, ROW_INDEX}
+
+
 def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -92,8 +97,14 @@ def project_available(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def project_canonical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exactly the listed columns; a missing one is an error."""
-    return df.select(*[_quoted(c) for c in columns])
+    """Exactly the listed columns, numbers as text; a missing one is an error."""
+    kinds = dict(df.dtypes)
+    return df.select(
+        *[
+            _quoted(c).cast("string").alias(c) if kinds.get(c) in _NUMBERS and c not in _TECHNICAL else _quoted(c)
+            for c in columns
+        ]
+    )
 
 
 def filter_language(df: DataFrame, language: str, column: str = "Language") -> DataFrame:

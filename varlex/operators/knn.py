@@ -196,6 +196,7 @@ def knn_join(
     metric: str = "l2sq",
     where: Mapping[str, str] | None = None,
     payload: Sequence[str] = (),
+    carry: Sequence[str] = (),
     id_column: str = "id",
     vector_column: str = "vector",
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
@@ -213,14 +214,16 @@ def knn_join(
     values are rounded to six digits before ranking so that the order does not
     depend on how rows were partitioned, and ties go to the smaller id.
     Only ids, vectors and filter columns are scanned for the search; ``payload``
-    names corpus columns to join back for the winners.  ``scan_tasks`` merges scan splits into that many tasks, without a shuffle,
+    names corpus columns to join back for the winners, ``carry`` query columns
+    to keep.  ``scan_tasks`` merges scan splits into that many tasks, without a shuffle,
     so that a corpus of very many splits writes fewer local candidates.
     """
     if metric not in ("l2sq", "dot"):
         raise ValueError(f"metric must be l2sq or dot, not {metric!r}")
     where = dict(where or {})
     asked = queries.where(F.col("vector").isNotNull()).select(
-        "query_id", "vector", *[F.col(c).alias(f"allowed_{i}") for i, c in enumerate(where.values())]
+        "query_id", "vector",
+        *[F.col(c).alias(f"allowed_{i}") for i, c in enumerate(where.values())], *carry,
     )
     rows = corpus.where(F.col(vector_column).isNotNull()).select(
         F.col(id_column).alias("id"),
@@ -235,12 +238,15 @@ def knn_join(
         rows = rows.coalesce(scan_tasks) if scan_tasks else rows
         best = _broadcast_plan(head, rows, k, metric, len(where), schema)
     else:
-        best = _block_plan(asked, rows, k, metric, len(where), schema, block_rows, query_block_rows)
+        best = _block_plan(asked.drop(*carry), rows, k, metric, len(where), schema, block_rows, query_block_rows)
     ranked = first_n(
         best, k, ["query_id"], [F.col("_key").asc(), F.col("id").asc()], "vector_rank", lanes
     )
     value = F.col("_key").alias("distance") if metric == "l2sq" else (-F.col("_key") + 0.0).alias("score")
     winners = ranked.select("query_id", "vector_rank", "id", value)
+    if carry:
+        kept = asked.select("query_id", *carry)
+        winners = winners.join(F.broadcast(kept) if few else kept, "query_id")
     if not payload:
         return winners
     carried = corpus.select(F.col(id_column).alias("id"), *payload)

@@ -37,7 +37,7 @@ def route_targets(records: DataFrame) -> DataFrame:
     )
 
 
-def _few(targets: DataFrame, limit: int) -> bool:
+def few_targets(targets: DataFrame, limit: int = MAX_BROADCAST_TARGETS) -> bool:
     """True if there are at most ``limit`` targets; reads at most one row more."""
     return targets.limit(limit + 1).count() <= limit
 
@@ -62,11 +62,11 @@ def observations_of(
     n: int,
     keys: list[str] | None = None,
     order: Column | str = ORD,
-    max_broadcast_targets: int = MAX_BROADCAST_TARGETS,
+    few: bool | None = None,
 ) -> DataFrame:
     """First n observations of every target record.
 
-    Few targets (a checked number): their keys are broadcast to drop all other
+    Few targets (counted unless the caller has done so): their keys are broadcast to drop all other
     observations in the scan stage, and the targets are broadcast again onto
     the at most n rows per key.  Many targets: both sides meet in a shuffle on
     (key, salt), the limited observations copied to every salt, so one variable
@@ -76,7 +76,7 @@ def observations_of(
     wanted = targets.select(*dict.fromkeys(TARGET_COLUMNS + keys))
     order_columns = [ORD] if ORD in observations.columns else []
     rows = observations.select(*dict.fromkeys(keys + columns + order_columns))
-    few = _few(wanted, max_broadcast_targets)
+    few = few_targets(wanted) if few is None else few
     if few:
         rows = rows.join(F.broadcast(wanted.select(*keys).distinct()), keys, "left_semi")
     limited = limit_per_target(rows, n, keys, order).drop(ORD)

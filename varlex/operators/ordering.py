@@ -34,6 +34,21 @@ def with_scan_order(scan: DataFrame) -> DataFrame:
     )
 
 
+def spread(scan: DataFrame, *keys: str, min_bytes: int = 4 << 20) -> DataFrame:
+    """Hash a scan over all cores if it has far fewer splits than there are cores.
+
+    A single row group, a compressed text file or a multi-line JSON file is one
+    split; work after it would run on one core.  A table with enough splits, or
+    a small one, is returned as it is and nothing is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan.rdd.getNumPartitions()
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if splits * 4 > cores or size < splits * min_bytes:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
 def merge_lanes(spark: SparkSession) -> int:
     """How many lanes a two-step merge uses; one on a small cluster."""
     return max(1, spark.sparkContext.defaultParallelism // 64)

@@ -41,8 +41,7 @@ def harmonise_registry(raw: DataFrame, spec: RegistrySpec) -> DataFrame:
     if spec.fill is None:
         df = H.fill_blank(df, spec.columns)
     else:
-        text = df.withColumns({c: F.col(c).cast("string") for c in spec.columns})
-        df = H.fill_defaults(text, spec.fill)
+        df = H.fill_defaults(df, spec.fill)
     if spec.language:
         df = H.filter_language(df, spec.language)
     if spec.dedup:
@@ -103,15 +102,18 @@ def embed_corpus(
     path: str,
     encoder: EncoderFactory | None = None,
     batch_size: int = fixed.ENCODE_BATCH,
+    sources: Iterable[str] | None = None,
 ) -> None:
     """Embed new or changed documents and upsert them into the store.
 
-    Embedded rows are first written to the shared folder, so that every text
-    is encoded once although the upsert reads its updates twice.
+    ``sources`` names the sources of the rows where they are known, as with
+    specs; otherwise they are looked up first.  Embedded rows are first written
+    to the shared folder, so that every text is encoded once although the
+    upsert reads its updates twice.
     """
     if ORD not in rows.columns:
         rows = rows.withColumn(ORD, F.monotonically_increasing_id())
-    touched = touched_sources(rows)
+    touched = F.col("source").isin(list(sources)) if sources else touched_sources(rows)
     changed = changed_documents(rows, scan_vector_store(spark, path).where(touched))
     embedded = (
         add_hash_vector(changed)
@@ -158,7 +160,7 @@ def run_ingest(
                 rows = harmonise_registry(raw, spec).observe(
                     counted, F.count(F.lit(1)).alias("n_rows")
                 )
-                embed_corpus(spark, rows, path, encoder, batch_size)
+                embed_corpus(spark, rows, path, encoder, batch_size, [spec.source])
                 n_rows = counted.get["n_rows"]
         except Exception as failure:  # noqa: BLE001 - reported, not swallowed
             status, error = "failed", str(failure)

@@ -15,7 +15,7 @@ def observations_for_matches(
     dhs: DataFrame | None = None,
     wide: DataFrame | None = None,
     n: int = fixed.OBSERVATIONS_PER_MATCH,
-    **options,
+    max_broadcast_targets: int = O.MAX_BROADCAST_TARGETS,
 ) -> DataFrame:
     """First n observations of every valid match, families stacked.
 
@@ -23,6 +23,8 @@ def observations_for_matches(
     match whose family is unknown or whose variable has no rows adds nothing.
     """
     targets = O.route_targets(O.valid_targets(records))
+    # One count covers all families: each has at most as many targets.
+    options = {"few": O.few_targets(targets, max_broadcast_targets)}
     frames = []
     if who is not None:
         frames.append(

@@ -45,7 +45,7 @@ def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row numbers of a file scan, without any order column."""
-    scan = O.with_scan_order(R.table(spark, sf_dir, "documents"))
+    scan = O.with_scan_order(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return R.longs(O.scan_row_index(scan), "row_index").select("doc_id", "row_index")
 
 

@@ -64,7 +64,7 @@ def limit_per_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 def salted_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan for target lists too long to broadcast."""
     found = O.who_observations(
-        _targets(spark, sf_dir, "WHO"), R.who_rows(spark, sf_dir), FEW, max_broadcast_targets=0
+        _targets(spark, sf_dir, "WHO"), R.who_rows(spark, sf_dir), FEW, few=False
     )
     return R.longs(found, "observation_rank")
 

@@ -8,12 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from varlex.operators.ordering import ORD
+from varlex.operators.ordering import ORD, spread
+
+# Keys that spread a table evenly where it comes as one split.
+_EVEN_KEYS = {"documents": "doc_id", "lineitem": "l_orderkey"}
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the file once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _SCHEMAS:
+        _SCHEMAS[known] = spark.read.parquet(path).schema
+    scan = spark.read.schema(_SCHEMAS[known]).parquet(path)
+    return spread(scan, _EVEN_KEYS[name]) if name in _EVEN_KEYS else scan
 
 
 def text(column: str):

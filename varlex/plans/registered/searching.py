@@ -110,12 +110,11 @@ def pair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = R.search_queries(spark, sf_dir)
     nearest = knn.knn_join(
-        queries, R.store(spark, sf_dir), fixed.OVERFETCH * fixed.DEFAULT_RESULTS,
-        payload=["metadata", "document"],
-    ).withColumnRenamed("document", "description")
-    return S.resolve_metadata(nearest).join(queries.select("query_id", "query"), "query_id")
+        R.search_queries(spark, sf_dir), R.store(spark, sf_dir), fixed.OVERFETCH * fixed.DEFAULT_RESULTS,
+        payload=["metadata", "document"], carry=["query"],
+    )
+    return S.resolve_metadata(nearest.withColumnRenamed("document", "description"))
 
 
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,18 +68,19 @@ def search(
             available_sources = count_sources(store).first()["n_sources"]
         queries = queries.withColumn("_allowed", source_filter("sources", available_sources))
         where = {"source": "_allowed"}
-    nearest = knn_join(
-        queries, store, fixed.OVERFETCH * most, "l2sq", where,
-        payload=["indicator_id", "metadata", "document"], **knn_options,
-    )
-
     wanted = F.least(F.col("n"), F.lit(fixed.MAX_RESULTS)) if per_query_n else F.lit(n)
     limit = F.col("max_dist") if "max_dist" in queries.columns else F.lit(float(max_dist))
-    settings = queries.select(
-        "query_id", "query", wanted.alias("_n"), limit.alias("_max_dist")
-    )
     candidates = (
-        nearest.join(settings, "query_id")
+        knn_join(
+            queries.withColumns({"_n": wanted, "_max_dist": limit}),
+            store,
+            fixed.OVERFETCH * most,
+            "l2sq",
+            where,
+            payload=["indicator_id", "metadata", "document"],
+            carry=["query", "_n", "_max_dist"],
+            **knn_options,
+        )
         .where(F.col("vector_rank") <= F.col("_n") * fixed.OVERFETCH)
         .transform(distance_threshold, F.col("_max_dist"))
         .withColumn("vector_score", similarity())
