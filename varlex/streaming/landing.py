@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from varlex.operators.embed import EncoderFactory
-from varlex.operators.ordering import with_scan_order
+from varlex.operators.ordering import ORD
 from varlex.plans.ingest import embed_corpus, harmonise_registry
 from varlex.specs import RegistrySpec
 
@@ -17,8 +18,18 @@ from varlex.specs import RegistrySpec
 def landing_stream(
     spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", **options
 ) -> DataFrame:
-    """New files of a landing folder as a stream, input order attached."""
-    return with_scan_order(spark.readStream.schema(schema).format(fmt).options(**options).load(path))
+    """New files of a landing folder as a stream that knows each row's split."""
+    scan = spark.readStream.schema(schema).format(fmt).options(**options).load(path)
+    split = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+    return scan.select("*", split.alias("_split"))
+
+
+def batch_order(batch: DataFrame) -> DataFrame:
+    """Input order of one micro-batch; row ids are only allowed outside a stream."""
+    order = F.struct("_split.file", "_split.block", F.monotonically_increasing_id().alias("seq"))
+    return batch.withColumn(ORD, order).drop("_split")
 
 
 def upsert_stream(
@@ -37,8 +48,8 @@ def upsert_stream(
     """
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        rows = harmonise_registry(prepare(batch), spec)
-        embed_corpus(batch.sparkSession, rows, store, encoder)
+        rows = harmonise_registry(prepare(batch_order(batch)), spec)
+        embed_corpus(batch.sparkSession, rows, store, encoder, sources=[spec.source])
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
