@@ -107,6 +107,16 @@ def project_canonical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def tag_source(df: DataFrame, source: str, name: str = "source") -> DataFrame:
+    """Constant source column."""
+    return df.withColumn(name, F.lit(source))
+
+
+def cast_string(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Ids and labels as text."""
+    return df.withColumns({c: _quoted(c).cast("string") for c in columns})
+
+
 def filter_language(df: DataFrame, language: str, column: str = "Language") -> DataFrame:
     return df.where(_quoted(column) == language)
 

@@ -38,6 +38,26 @@ def detect_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.detect_columns(R.ukb_model_raw(spark, sf_dir)).drop(ORD)
 
 
+def normalise_column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.normalise_column_names(R.ukb_model_raw(spark, sf_dir)).drop(ORD)
+
+
+def tag_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = R.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return H.tag_source(parts, MODEL_SPECS["mimic_iv"].source)
+
+
+def cast_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = R.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return H.cast_string(orders, ["o_orderkey", "o_custkey"])
+
+
+def source_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the chosen registries are planned."""
+    landed = R.hash_landed(spark, sf_dir)
+    return harmonise(spark, landed, HASH_SPECS, ["nhanes", "who"]).select("id", "source", "document")
+
+
 def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = R.allofus_model_raw(spark, sf_dir)
     return R.longs(O.row_index(turns), "row_index").select(F.col(ORD).alias("ord"), "row_index")
@@ -181,6 +201,7 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         rename_columns, fill_defaults, fill_blank, backfill_missing_columns, detect_columns,
+        normalise_column_names, tag_source, cast_string, source_selection,
         row_index, scan_row_index, project_canonical, project_available, prefix_concat, synth_id,
         first_truthy, render_document, truncate_100, dedup_keep_first, cap_rows, filter_language,
         union_registries, clean_text, composite_text, metadata_map, enforce_unified_schema,
@@ -318,6 +339,16 @@ SQL = {
         FROM part""",
     "detect_columns": """
         SELECT CAST(s_suppkey AS VARCHAR) AS field_id, s_name AS title FROM supplier""",
+    "normalise_column_names": """
+        SELECT CAST(s_nationkey AS VARCHAR) AS nation, CAST(s_suppkey AS VARCHAR) AS "supplier field",
+               s_name AS "full title"
+        FROM supplier""",
+    "tag_source": "SELECT p_partkey, p_name, 'mimic_iv' AS source FROM part",
+    "cast_string": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus
+        FROM orders""",
+    "source_selection": _HASH + """
+        SELECT id, source, document FROM harmonised WHERE source IN ('NHANES', 'WHO_GHO')""",
     "row_index": """
         SELECT conv_id * 1000 + turn AS ord, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index
         FROM conversations""",

@@ -89,6 +89,11 @@ def distance_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.distance_threshold(_filtered(spark, sf_dir), fixed.DEFAULT_MAX_DISTANCE)
 
 
+def similarity_from_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _filtered(spark, sf_dir)
+    return found.select("query_id", "id", F.round(knn.similarity(), 6).alias("vector_score"))
+
+
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the filtered search ranked by similarity rounded to tenths."""
     scored = _filtered(spark, sf_dir).withColumn("vector_score", F.round(knn.similarity(), 1))
@@ -194,7 +199,7 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         dot_similarity, top_k, knn_join, knn_join_dot, knn_join_blocks, approx_knn, approx_knn_probed,
-        source_filter, distance_threshold, rank_candidates, resolve_metadata, pair_text, rerank,
+        source_filter, distance_threshold, similarity_from_distance, rank_candidates, resolve_metadata, pair_text, rerank,
         overfetch_truncate, search, demographic_tags, extract_keywords, annotate_queries,
         export_records, target_ids, context_block, build_prompt,
     )
@@ -303,6 +308,8 @@ SQL = {
     "source_filter": _FILTERED + " SELECT query_id, vector_rank, id, distance, source FROM nearest",
     "distance_threshold": _FILTERED + """
         SELECT query_id, vector_rank, id, distance, source FROM nearest WHERE distance <= 1.5""",
+    "similarity_from_distance": _FILTERED + """
+        SELECT query_id, id, round(1 - distance, 6) AS vector_score FROM nearest""",
     "rank_candidates": _FILTERED + """
         SELECT query_id, id, round(1 - distance, 1) AS vector_score,
                row_number() OVER (PARTITION BY query_id ORDER BY round(1 - distance, 1) DESC, vector_rank) AS rank
