@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from varlex import fixed
 from varlex.functions import text as X
-from varlex.operators.ordering import ORD, first_n
+from varlex.operators.ordering import ORD, first_n, order_columns
 
 # Ceiling on the target list that may be broadcast; beyond it a salted
 # shuffle join is used.
@@ -51,8 +51,7 @@ def limit_per_target(
     equals limiting per target after it, and the join multiplies at most n rows
     whatever share of the observations one variable holds.
     """
-    column = F.col(order) if isinstance(order, str) else order
-    return first_n(observations, n, keys, [column.asc()], "observation_rank")
+    return first_n(observations, n, keys, order_columns(observations, order), "observation_rank")
 
 
 def observations_of(
