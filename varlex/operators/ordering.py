@@ -84,45 +84,33 @@ def first_n(
     return ranked if rank else ranked.drop(position)
 
 
-def order_columns(df: DataFrame, order: Column | str) -> list[Column]:
-    """Ascending sort columns; a struct is taken apart, which sorts faster."""
-    if not isinstance(order, str):
-        return [order.asc()]
+def order_columns(df: DataFrame, order: Column | str, latest: bool = False) -> list[Column]:
+    """Sort columns of an order; a struct is taken apart, which sorts faster."""
 
     def leaves(path: str, kind: T.DataType) -> list[str]:
         if isinstance(kind, T.StructType):
             return [leaf for f in kind.fields for leaf in leaves(f"{path}.`{f.name}`", f.dataType)]
         return [path]
 
-    return [F.col(leaf).asc() for leaf in leaves(order, df.schema[order].dataType)]
-
-
-def _keep(df: DataFrame, keys: Sequence[str], pick: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(pick.alias("_row")).select(
-        *[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns]
-    )
-
-
-def _others(df: DataFrame, keys: Sequence[str]) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys])
+    if isinstance(order, str):
+        columns = [F.col(leaf) for leaf in leaves(order, df.schema[order].dataType)]
+    else:
+        columns = [order]
+    return [c.desc() if latest else c.asc() for c in columns]
 
 
 def dedup_keep_first(
     df: DataFrame, keys: Sequence[str], order: Column | str = ORD
 ) -> DataFrame:
-    """Keep the earliest row of every key.
-
-    A partial and a final aggregate: a map partition sends one row per key, and
-    rows are never sorted by their order within a key.
-    """
-    return _keep(df, keys, F.min_by(_others(df, keys), order))
+    """Keep the earliest row of every key; a map partition sends one row per key."""
+    return first_n(df, 1, keys, order_columns(df, order), lanes=1)
 
 
 def dedup_keep_last(
     df: DataFrame, keys: Sequence[str], order: Column | str = ORD
 ) -> DataFrame:
-    """Keep the latest row of every key."""
-    return _keep(df, keys, F.max_by(_others(df, keys), order))
+    """Keep the latest row of every key; a map partition sends one row per key."""
+    return first_n(df, 1, keys, order_columns(df, order, latest=True), lanes=1)
 
 
 def cap_rows(
