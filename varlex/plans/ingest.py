@@ -15,7 +15,7 @@ from varlex.operators import harmonise as H
 from varlex.operators.embed import EncoderFactory, add_hash_vector, changed_documents, model_embed
 from varlex.operators.ordering import ORD, cap_rows, dedup_keep_first, number_rows
 from varlex.operators.report import REPORT_SCHEMA
-from varlex.session import fresh_path, path_exists
+from varlex.session import discard, fresh_path, path_exists
 from varlex.sources.landing import seed_rows
 from varlex.sources.sinks import touched_sources, upsert_by_id
 from varlex.sources.stores import scan_vector_store
@@ -114,7 +114,9 @@ def embed_corpus(
     if ORD not in rows.columns:
         rows = rows.withColumn(ORD, F.monotonically_increasing_id())
     touched = F.col("source").isin(list(sources)) if sources else touched_sources(rows)
-    changed = changed_documents(rows, scan_vector_store(spark, path).where(touched))
+    changed = rows
+    if path_exists(spark, path):
+        changed = changed_documents(rows, scan_vector_store(spark, path).where(touched))
     embedded = (
         add_hash_vector(changed)
         if encoder is None
@@ -123,6 +125,7 @@ def embed_corpus(
     staged = fresh_path(spark, "embedded")
     embedded.write.parquet(staged)
     upsert_by_id(spark, path, spark.read.parquet(staged), touched=touched)
+    discard(spark, staged)
 
 
 def build_if_missing(spark: SparkSession, path: str, build: Callable[[], None]) -> bool:

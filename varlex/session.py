@@ -62,6 +62,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table made by ``fresh_path`` once it is no longer read."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True if a file or folder exists at ``path`` on its own file system."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
