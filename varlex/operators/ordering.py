@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ORD = "_ord"
+ROW_GROUP_BYTES = 128 << 20
 
 
 def with_scan_order(scan: DataFrame) -> DataFrame:
@@ -42,9 +43,11 @@ def spread(scan: DataFrame, *keys: str, min_bytes: int = 4 << 20) -> DataFrame:
     a small one, is returned as it is and nothing is shuffled.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan.rdd.getNumPartitions()
     size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if splits * 4 > cores or size < splits * min_bytes:
+    if size < min_bytes or size * 4 > cores * ROW_GROUP_BYTES:
+        return scan
+    # Byte ranges of one row group are separate splits, but only one has rows.
+    if max(len(scan.inputFiles()), size // ROW_GROUP_BYTES) * 4 > cores:
         return scan
     return scan.repartition(cores, *keys)
 

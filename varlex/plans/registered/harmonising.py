@@ -113,7 +113,7 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 30 line items per supplier and return flag in input order."""
-    rows = R.table(spark, sf_dir, "lineitem").select(
+    rows = R.even(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias(ORD),
     )
@@ -135,7 +135,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = R.table(spark, sf_dir, "pages").select(
         F.concat(F.lit("p"), R.text("page_id")).alias("key"), F.col("html").alias("text")
     )
-    documents = R.table(spark, sf_dir, "documents").select(
+    documents = R.even(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), R.text("doc_id")).alias("key"), "text"
     )
     return pages.unionByName(documents).select("key", X.clean_text("text").alias("cleaned"))

@@ -23,8 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     known = (spark.sparkContext.applicationId, path)
     if known not in _SCHEMAS:
         _SCHEMAS[known] = spark.read.parquet(path).schema
-    scan = spark.read.schema(_SCHEMAS[known]).parquet(path)
-    return spread(scan, _EVEN_KEYS[name]) if name in _EVEN_KEYS else scan
+    return spark.read.schema(_SCHEMAS[known]).parquet(path)
+
+
+def even(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table for work that is heavy per row, over all cores if it is one split."""
+    return spread(table(spark, sf_dir, name), _EVEN_KEYS[name])
 
 
 def text(column: str):

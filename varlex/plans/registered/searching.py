@@ -151,7 +151,7 @@ def _query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def demographic_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all texts that read like queries or statements."""
-    documents = R.table(spark, sf_dir, "documents").select(
+    documents = R.even(spark, sf_dir, "documents").select(
         (-F.col("doc_id") - 1).alias("query_id"), F.col("text").alias("query")
     )
     return _query_log(spark, sf_dir).unionByName(documents).select(
