@@ -1,8 +1,11 @@
 """Operators that prepare training data for language models, each with a registered query."""
 
-from varlex.llm import simhash_trie
+from varlex.llm import bpe_replay, sharding, simhash_trie, token_counts
 
 QUERIES = {
+    "op2_rendezvous": sharding.op2_rendezvous,
+    "op4_bpe_replay": bpe_replay.op4_bpe_replay,
+    "op8_whole_tokens": token_counts.op8_whole_tokens,
     "op9_simhash_trie": simhash_trie.op9_simhash_trie,
 }
 

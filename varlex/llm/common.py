@@ -67,16 +67,39 @@ def crc_mod(column: str, modulus: int):
 class BoundedCache(dict):
     """Results by word, kept between batches and tasks of one Python worker.
 
-    It is emptied when it holds ``limit`` entries, which costs time, never
-    results.  Words longer than ``longest`` are not kept by callers.
+    It is emptied when its entries weigh more than ``limit`` bytes, about,
+    which costs time, never results.
     """
 
-    longest = 64
+    entry = 240
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 120_000_000):
         super().__init__()
-        self.limit = limit
+        self.limit, self.held = limit, 0
 
-    def make_room(self, wanted: int) -> None:
-        if len(self) + wanted > self.limit:
+    def missing(self, words: Iterable[str]) -> set[str]:
+        """The words that the caller has to put in now; afterwards all of ``words`` are there."""
+        wanted = set(words)
+        new = wanted.difference(self)
+        if new and self.held + self.weight(new) > self.limit:
             self.clear()
+            self.held, new = 0, wanted
+        self.held += self.weight(new)
+        return new
+
+    def weight(self, words: set[str]) -> int:
+        return sum(map(len, words)) * 4 + self.entry * len(words)
+
+
+def chunked_matches(pattern, text: str, long: int = 1 << 20, step: int = 100_000) -> Iterator[list[str]]:
+    """All matches of a pattern without groups, in lists of bounded length where the text is long."""
+    if len(text) <= long:
+        yield pattern.findall(text)
+        return
+    found: list[str] = []
+    for match in pattern.finditer(text):
+        found.append(match.group())
+        if len(found) == step:
+            yield found
+            found = []
+    yield found
