@@ -1,12 +1,13 @@
 """Operators that prepare training data for language models, each with a registered query."""
 
-from varlex.llm import bpe_replay, sharding, simhash_trie, token_counts
+from varlex.llm import bpe_replay, quality, sharding, simhash_trie, token_counts
 
 QUERIES = {
     "op2_rendezvous": sharding.op2_rendezvous,
     "op4_bpe_replay": bpe_replay.op4_bpe_replay,
+    "op7_adaptive_quality": quality.op7_adaptive_quality,
     "op8_whole_tokens": token_counts.op8_whole_tokens,
     "op9_simhash_trie": simhash_trie.op9_simhash_trie,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op7_adaptive_quality": quality.OP7_SQL}
