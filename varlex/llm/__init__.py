@@ -1,6 +1,6 @@
 """Operators that prepare training data for language models, each with a registered query."""
 
-from varlex.llm import bpe_replay, quality, sharding, simhash_trie, token_counts
+from varlex.llm import bpe_replay, decontaminate, quality, sharding, simhash_trie, token_counts
 
 QUERIES = {
     "op2_rendezvous": sharding.op2_rendezvous,
@@ -8,6 +8,7 @@ QUERIES = {
     "op7_adaptive_quality": quality.op7_adaptive_quality,
     "op8_whole_tokens": token_counts.op8_whole_tokens,
     "op9_simhash_trie": simhash_trie.op9_simhash_trie,
+    "op10_qgram_bands": decontaminate.op10_qgram_bands,
 }
 
 SQL = {"op7_adaptive_quality": quality.OP7_SQL}
