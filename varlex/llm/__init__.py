@@ -1,10 +1,11 @@
 """Operators that prepare training data for language models, each with a registered query."""
 
-from varlex.llm import bpe_replay, decontaminate, quality, sharding, simhash_trie, token_counts
+from varlex.llm import bpe_replay, decontaminate, line_dedup, quality, sharding, simhash_trie, token_counts
 
 QUERIES = {
     "op2_rendezvous": sharding.op2_rendezvous,
     "op4_bpe_replay": bpe_replay.op4_bpe_replay,
+    "op6_fuzzy_lines": line_dedup.op6_fuzzy_lines,
     "op7_adaptive_quality": quality.op7_adaptive_quality,
     "op8_whole_tokens": token_counts.op8_whole_tokens,
     "op9_simhash_trie": simhash_trie.op9_simhash_trie,

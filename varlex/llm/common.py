@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +52,50 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Each batch with its texts as Python values."""
-    for batch in batches:
-        yield batch, batch.column(column).to_pylist()
+def split_groups(rows: DataFrame, key: str, by: str, group_rows: int) -> DataFrame:
+    """``rows`` with a column ``bucket``: groups in which every two rows of a key still meet.
+
+    A key with up to ``group_rows`` rows is one bucket.  The rows of a larger
+    one are hashed by ``by`` into parts, and every two parts meet in a bucket
+    of their own, so that no bucket grows with the data.
+    """
+    large = durable(
+        rows.groupBy(key).count().where(F.col("count") > group_rows)
+        .select(key, F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
+    )
+    if large.isEmpty():
+        return rows.withColumn("bucket", F.xxhash64(key, F.lit(0), F.lit(0)))
+    return (
+        rows.join(large, key, "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("part", F.pmod(F.xxhash64(by, F.lit(1)), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .where((F.col("parts") == 1) | (F.col("other") != F.col("part")))
+        .withColumn("bucket", F.xxhash64(key, F.least("part", "other"), F.greatest("part", "other")))
+        .drop("parts", "part", "other")
+    )
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, column: str, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """``rows`` split into those whose ``column`` may be among ``ids`` and those where it isn't.
+
+    A bitmap with one hash and 2 ** ``bits`` places, at most 2 ** (bits - 6)
+    rows of two longs (4 MB), is broadcast; with very many ids it lets all
+    rows through, which costs a larger join, not results.  Rows with a null
+    count as possible.
+    """
+    place = F.xxhash64(column).bitwiseAND((1 << bits) - 1)
+    word, bit = F.shiftright(place, 6), F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    bitmap = F.broadcast(durable(
+        ids.select(place.alias("_place")).select(F.shiftright("_place", 6).alias("_word"), bit.alias("_bit"))
+        .groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    ))
+    marked = (
+        rows.withColumn("_place", place).withColumn("_word", word).join(bitmap, "_word", "left")
+        .withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+        .drop("_word", "_place", "_bits")
+    )
+    return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
 
 
 def crc_mod(column: str, modulus: int):

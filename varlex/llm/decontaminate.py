@@ -164,6 +164,10 @@ class Index:
             high = low + 2 * int(self.span[k]) - 1
             first = max(0, low)
             part = codes[first : max(first, min(len(codes), high + len(item) + 1))].astype(np.int64)
+            at = part.tobytes().find(item.astype(np.int64).tobytes())
+            if at >= 0 and at % 8 == 0:  # as it is, so there is nothing to align
+                found.setdefault(k, []).append((0, first + at // 8, first + at // 8 + len(item)))
+                continue
             edits, end = aligned(item, part, low - first, high - first)
             if edits > budget:
                 continue

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.llm.common import documents, durable, inputs
+from varlex.llm.common import documents, durable, inputs, split_groups
 from varlex.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -172,9 +172,7 @@ def fingerprint_links(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> Data
     with at most four different bits agree on two of six blocks, so each
     fingerprint meets the others only below the (15) pairs of blocks it holds,
     where a trie self-join finds the pairs.  A pair of blocks that more than
-    ``group_rows`` fingerprints share is dealt out: its rows are hashed into
-    parts, and every two parts meet in a group of their own, so no group
-    grows with the data.
+    ``group_rows`` fingerprints share is dealt out over several groups.
     """
     bits = [F.shiftrightunsigned("fp", 64 - at - n).bitwiseAND((1 << n) - 1) for at, n in BLOCKS]
     keys = [
@@ -182,24 +180,9 @@ def fingerprint_links(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> Data
         for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))
     ]
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("blocks"))
-    large = durable(
-        rows.groupBy("blocks").count().where(F.col("count") > group_rows)
-        .select("blocks", F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
-    )
-    if large.isEmpty():
-        groups = rows.withColumnRenamed("blocks", "bucket")
-    else:
-        part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-        groups = (
-            rows.join(large, "blocks", "left")
-            .withColumn("parts", F.coalesce("parts", F.lit(1)))
-            .withColumn("part", part)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("parts") - 1))))
-            .where((F.col("parts") == 1) | (F.col("other") != F.col("part")))
-            .select("fp", F.xxhash64("blocks", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
-        )
+    groups = split_groups(rows, "blocks", "fp", group_rows)
     # As unsigned numbers: those with the highest bit come last.
-    ordered = groups.repartition("bucket").sortWithinPartitions("bucket", F.col("fp") < 0, "fp")
+    ordered = groups.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", F.col("fp") < 0, "fp")
     return ordered.mapInArrow(_joined, "a long, b long")
 
 
