@@ -1,8 +1,9 @@
 """Operators that prepare training data for language models, each with a registered query."""
 
-from varlex.llm import bpe_replay, decontaminate, line_dedup, quality, sharding, simhash_trie, token_counts
+from varlex.llm import bpe_replay, decontaminate, line_dedup, quality, sharding, simhash_trie, token_counts, toxicity
 
 QUERIES = {
+    "op1_noisy_or": toxicity.op1_noisy_or,
     "op2_rendezvous": sharding.op2_rendezvous,
     "op4_bpe_replay": bpe_replay.op4_bpe_replay,
     "op6_fuzzy_lines": line_dedup.op6_fuzzy_lines,
