@@ -1,12 +1,13 @@
 """Operators that prepare training data for language models, each with a registered query."""
 
-from varlex.llm import bpe_replay, decontaminate, line_dedup, quality, repair_output, sharding, simhash_trie, token_counts, toxicity
+from varlex.llm import bpe_replay, decontaminate, language_id, line_dedup, quality, repair_output, sharding, simhash_trie, token_counts, toxicity
 
 QUERIES = {
     "op1_noisy_or": toxicity.op1_noisy_or,
     "op2_rendezvous": sharding.op2_rendezvous,
     "op3_re_pair": repair_output.op3_re_pair,
     "op4_bpe_replay": bpe_replay.op4_bpe_replay,
+    "op5_kneser_ney": language_id.op5_kneser_ney,
     "op6_fuzzy_lines": line_dedup.op6_fuzzy_lines,
     "op7_adaptive_quality": quality.op7_adaptive_quality,
     "op8_whole_tokens": token_counts.op8_whole_tokens,
