@@ -6,7 +6,6 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -15,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.llm.common import BoundedCache, chunked_matches, documents, inputs
+from varlex.llm.common import BoundedCache, chunked_matches, documents, inputs, per_worker
 
 END = -1
 SHIFT = 32
@@ -51,10 +50,9 @@ class Vocabulary:
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], END)
 
 
-@cache
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """Loaded once per Python worker."""
-    return Vocabulary(path, pattern)
+    return per_worker(("bpe", path, pattern), lambda: Vocabulary(path, pattern))
 
 
 def replay(words: list[bytes], vocab: Vocabulary) -> list[bytes]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +104,18 @@ def crc_mod(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def per_worker(key, make):
+    """What ``make`` returns, made once in each Python process and kept there between tasks.
+
+    Functions travel to the workers by value, so a module's own globals
+    wouldn't last; ``sys`` does.
+    """
+    kept = sys.__dict__.setdefault("_varlex_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class BoundedCache(dict):
     """Results by word, kept between batches and tasks of one Python worker.
 
@@ -112,14 +125,14 @@ class BoundedCache(dict):
 
     entry = 240
 
-    def __init__(self, limit: int = 120_000_000):
+    def __init__(self, limit: int = 240_000_000):
         super().__init__()
         self.limit, self.held = limit, 0
 
     def missing(self, words: Iterable[str]) -> set[str]:
         """The words that the caller has to put in now; afterwards all of ``words`` are there."""
         wanted = set(words)
-        new = wanted.difference(self)
+        new = {w for w in wanted if w not in self}  # difference() would walk through the whole cache
         if new and self.held + self.weight(new) > self.limit:
             self.clear()
             self.held, new = 0, wanted

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.llm.common import documents, inputs
+from varlex.llm.common import documents, inputs, per_worker
 
 Q = 8
 # Edits an occurrence may have, per cent of the item's characters.
@@ -26,9 +25,12 @@ FILTER_BITS = 20
 BLANK = 32
 
 
-@cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """By code point: is it a letter or digit; its lower-case form where that is one character."""
+    return per_worker("characters", _made_tables)
+
+
+def _made_tables() -> tuple[np.ndarray, np.ndarray]:
     points = [chr(c) for c in range(0x110000)]
     kept = np.fromiter(map(str.isalnum, points), bool, len(points))
     low = np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in points), np.uint32, len(points))

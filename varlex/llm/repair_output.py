@@ -7,7 +7,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.llm.common import BoundedCache, chunked_matches, documents, durable, inputs
+from varlex.llm.common import BoundedCache, chunked_matches, documents, durable, inputs, per_worker
 from varlex.session import discard, fresh_path
 
 END_ID = 1
@@ -34,7 +33,7 @@ LEAST_GAIN = 100
 HASH_BITS = 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MAGIC = b"RPG1"
-HEADER = struct.Struct("<4sIIII")
+HEADER = "<4sIIII"
 
 # Texts of these characters alone are cut into pre-tokens here; the tokenizer's own rules, written out for them.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
@@ -96,9 +95,8 @@ class Encoder:
         return found
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return per_worker(("ids", path), lambda: Encoder(path))
 
 
 def re_pair(ids: np.ndarray, barrier: int = END_ID) -> tuple[np.ndarray, np.ndarray, int]:
@@ -180,7 +178,7 @@ def packed(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> by
     wide = "<u2" if first + len(rules) <= SYMBOLS else "<u4"
     return b"".join(
         (
-            HEADER.pack(MAGIC, len(doc_ids), len(rules), first, len(symbols)),
+            struct.pack(HEADER, MAGIC, len(doc_ids), len(rules), first, len(symbols)),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             np.array([d is None for d in doc_ids], "u1").tobytes(),
             counts.astype("<u4").tobytes(), starts.astype("<u4").tobytes(),
@@ -193,10 +191,10 @@ class Chunk:
     """A packed chunk, read back."""
 
     def __init__(self, data: bytes):
-        magic, documents_, rules, self.first, symbols = HEADER.unpack_from(data)
+        magic, documents_, rules, self.first, symbols = struct.unpack_from(HEADER, data)
         if magic != MAGIC:
             raise ValueError("not a chunk of token ids")
-        at = HEADER.size
+        at = struct.calcsize(HEADER)
 
         def array(kind: str, count: int) -> np.ndarray:
             nonlocal at

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import chain, filterfalse
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.llm.common import BoundedCache, chunked_matches, documents, inputs
+from varlex.llm.common import BoundedCache, chunked_matches, documents, inputs, per_worker
 
 LIMIT = 4096
 SPACE = "▁"  # stands for a blank in pieces
@@ -85,9 +84,9 @@ class Counter:
         return found
 
 
-@cache
 def counter(path: str) -> Counter:
-    return Counter(path)
+    """Loaded once per Python worker."""
+    return per_worker(("pieces", path), lambda: Counter(path))
 
 
 def token_counts(
