@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.llm.common import documents, durable, inputs, split_groups
+from varlex.llm.common import documents, durable, inputs, maybe_among, split_groups
 from varlex.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -210,5 +210,56 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component of near-duplicates, with all its columns.
+
+    It is the row with the smallest doc_id of its component (null last), then
+    with the smallest text hash; of rows that are equal in both any one.  Only
+    rows that may have to go are shuffled with their texts.
+    """
+    prefix = "_s"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    names = [f"{prefix}_id", f"{prefix}_hash"]
+    rows = docs.select(
+        "*", F.col(f"`{doc_id}`").cast("long").alias(names[0]), F.xxhash64(F.col(f"`{text}`")).alias(names[1])
+    )
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), pa.array(found.view(np.int64))], [*names, "fp"]
+            )
+
+    marked = durable(
+        rows.select(*names, F.col(f"`{text}`").cast("binary").alias("text"))
+        .mapInArrow(scan, ", ".join(f"{n} long" for n in names) + ", fp long")
+        .groupBy(*names, "fp").agg(F.count("*").alias("times"))
+    )
+    # The row that stays for each fingerprint, then for each component.
+    best = F.min(F.struct(F.col(names[0]).isNull().alias("none"), *names))
+    distinct = durable(marked.groupBy("fp").agg(best.alias("best")))
+    linked = connected_components(fingerprint_links(distinct.select("fp")))
+    rooted = durable(
+        distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+        .select("fp", "best", F.coalesce("component", "fp").alias("root"))
+    )
+    kept = rooted.groupBy("root").agg(F.min("best").alias("kept"))
+    judged = marked.join(rooted.select("fp", "root").join(kept, "root"), "fp")
+    same = F.struct(*names).eqNullSafe(F.struct(*[F.col(f"kept.{n}") for n in names]))
+    touched = durable(judged.withColumn("stays", same).where("not stays or times > 1").select(*names, "stays"))
+    possible, rest = maybe_among(rows, touched.select(names[0]), names[0])
+    other = touched.select(*[F.col(n).alias(f"{n}_t") for n in names], F.col("stays").alias(f"{prefix}_stays"))
+    matches = F.lit(True)
+    for n in names:
+        matches &= F.col(n).eqNullSafe(F.col(f"{n}_t"))
+    found = possible.join(other, matches, "left")
+    alone = found.where(F.col(f"{prefix}_stays").isNull())
+    repeated = found.where(F.col(f"{prefix}_stays")).dropDuplicates(names)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rest.select(*columns).unionByName(alone.select(*columns)).unionByName(repeated.select(*columns))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
