@@ -32,7 +32,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
         unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
         score = F.lit(float(weight)) / -F.ln(unit)
         scores.append(F.struct(score.alias("score"), F.lit(-shard).alias("negative")))
-    return -F.greatest(*scores)["negative"]
+    return -F.greatest(scores[0], *scores)["negative"]
 
 
 def assign_shards(
