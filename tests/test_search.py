@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from varlex import fixed
 from varlex.operators import context
 from varlex.operators.annotate import annotate_queries
 from varlex.operators.embed import add_hash_vector
@@ -116,4 +115,3 @@ def test_annotator_hook(spark):
 def test_keep_best_by_column(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 1, 2), (2, 2, 2)], "query_id int, final_rank int, n int")
     assert keep_best(df, "n").count() == 3 and keep_best(df, 1).count() == 2
-    assert fixed.MAX_RESULTS == 10

@@ -90,12 +90,25 @@ def test_embed_corpus_encodes_only_changes(spark, tmp_path):
     rows = updates(spark, [("a", "s", "one"), ("b", "s", "two")]).drop("vector")
     embed_corpus(spark, rows, path, factory)
     assert encoded() == ["one", "two"]
-    again = updates(spark, [("a", "s", "one"), ("b", "s", "three"), ("c", "s", "four")]).drop("vector", ORD)
+    again = updates(spark, [("a", "s", "one"), ("b", "s", "three"), ("c", "s", "four")]).drop("vector")
     embed_corpus(spark, again, path, factory, sources=["s"])
     assert encoded() == ["four", "one", "three", "two"]
     assert content(spark, path) == [("a", "s", "one"), ("b", "s", "three"), ("c", "s", "four")]
 
 
+def test_a_batch_never_loses_rows_of_sources_that_are_not_named(spark, tmp_path):
+    path = str(tmp_path / "store")
+    embed_corpus(spark, updates(spark, [("p1", "p", "a"), ("q1", "q", "b"), ("q2", "q", "c")]).drop("vector"), path)
+    embed_corpus(spark, updates(spark, [("p1", "p", "x"), ("q1", "q", "y")]).drop("vector"), path, sources=["p"])
+    assert content(spark, path) == [("p1", "p", "x"), ("q1", "q", "y"), ("q2", "q", "c")]
+
+
+def test_rows_without_input_order_are_refused(spark, tmp_path):
+    rows = updates(spark, [("p1", "p", "a")]).drop("vector", ORD)
+    with pytest.raises(ValueError, match="order"):
+        embed_corpus(spark, rows, str(tmp_path / "store"))
+
+
 def test_build_if_missing(spark, tmp_path):
     path = str(tmp_path / "store")
     build = lambda: sinks.upsert_by_id(spark, path, updates(spark, [("a", "1", "x")]))

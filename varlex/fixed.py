@@ -19,13 +19,11 @@ NA_TOKENS = (
 # --------------------------------------------------------------------------
 EMBED_DIM = 384
 ENCODE_BATCH = 64
-REGISTRY_CAP = 10_000
 SHORT_NAME_CHARS = 100
 PAGE_ROWS = 2_000
 MIN_PAYLOAD_CHARS = 200
 CLI_TOP_K = 5
 DEFAULT_RESULTS = 5
-MAX_RESULTS = 10
 OVERFETCH = 2
 DEFAULT_MAX_DISTANCE = 1.5
 OBSERVATIONS_PER_MATCH = 50
@@ -149,7 +147,6 @@ HASH_REGISTRIES = {
         "columns": ["Code", "Name"],
         "fill": {"Code": "UNKNOWN", "Name": "Unknown WHO Indicator"},
         "dedup": "Code",
-        "cap": 10_000,
         "id": "WHO_GHO_{Code}",
         "indicator": "Code",
         "document": "Source: WHO GHO | Indicator Code: {Code} | Name: {Name}",
@@ -169,7 +166,6 @@ HASH_REGISTRIES = {
         "columns": ["ItemID", "Label", "Fluid", "Category"],
         "fill": {"ItemID": "0", "Label": "Unknown Item", "Fluid": "Unspecified", "Category": "General Lab"},
         "dedup": "ItemID",
-        "cap": 10_000,
         "id": "MIMIC_ITEM_{ItemID}",
         "indicator": "ItemID",
         "document": "Source: MIMIC-IV | ItemID: {ItemID} | Label: {Label} | Fluid: {Fluid} | Category: {Category}",
@@ -190,7 +186,6 @@ HASH_REGISTRIES = {
         "fill": {"ConceptID": "0", "ConceptName": "Unknown Concept",
                  "DomainID": "General Domain", "VocabularyID": "Standard Vocab"},
         "dedup": "ConceptID",
-        "cap": 10_000,
         "id": "ALLOFUS_CONCEPT_{ConceptID}",
         "indicator": "ConceptID",
         "document": "Source: NIH All of Us | Concept ID: {ConceptID} | Name: {ConceptName} | Domain: {DomainID} | Vocabulary: {VocabularyID}",
@@ -213,7 +208,6 @@ HASH_REGISTRIES = {
         "fill": {"VariableID": "UNKNOWN_VAR", "SASLabel": "Unknown Factor",
                  "QuestionText": "No Context Clarified"},
         "dedup": "VariableID",
-        "cap": 10_000,
         "id": "NHANES_VAR_{VariableID}",
         "indicator": "VariableID",
         "document": "Source: CDC NHANES | Variable: {VariableID} | Label: {SASLabel} | Question: {QuestionText}",
@@ -234,7 +228,6 @@ HASH_REGISTRIES = {
         "columns": ["FieldID", "Field", "Category"],
         "fill": {"FieldID": "UNKNOWN", "Field": "Unknown Field Description", "Category": "General Health"},
         "dedup": "FieldID",
-        "cap": 10_000,
         "id": "UKB_FIELD_{FieldID}",
         "indicator": "FieldID",
         "document": "Source: UK Biobank | Field ID: {FieldID} | Category: {Category} | Description: {Field}",

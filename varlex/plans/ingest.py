@@ -6,8 +6,9 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varlex import fixed
 from varlex.functions import text as X
@@ -29,7 +30,8 @@ def harmonise_registry(raw: DataFrame, spec: RegistrySpec) -> DataFrame:
     """One raw dictionary as store rows (without vector), input order kept.
 
     The order of steps matters: nulls are filled before duplicates are dropped,
-    so all rows with a null key become one row, and the cap comes last.
+    so all rows with a null key become one row.  A cap, where a spec sets one,
+    comes last; no spec of the package does.
     """
     df = H.detect_columns(raw) if spec.detect else H.rename_columns(raw, spec.rename)
     df = H.backfill_missing_columns(df, spec.backfill)
@@ -72,18 +74,41 @@ def landed_or_fallback(
     raise FileNotFoundError(f"registry {spec.key!r} has not landed")
 
 
+def _place(rows: DataFrame, position: int) -> Column:
+    """A comparable place for every scan: registry, file, block, row and item; a plain number stands for the row."""
+    kind = rows.schema[ORD].dataType
+    fields = set(kind.names) if isinstance(kind, T.StructType) else set()
+
+    def part(name: str, otherwise: Column, cast: str) -> Column:
+        return (F.col(f"{ORD}.{name}") if name in fields else otherwise).cast(cast).alias(name)
+
+    return F.struct(
+        F.lit(position).alias("registry"),
+        part("file", F.lit(""), "string"),
+        part("block", F.lit(0), "long"),
+        part("seq", F.lit(0) if fields else F.col(ORD), "long"),
+        part("item", F.lit(0), "long"),
+    )
+
+
 def harmonise(
     spark: SparkSession,
     landed: Landed,
     specs: Mapping[str, RegistrySpec],
     keys: Iterable[str] = ("all",),
+    keep_order: bool = False,
 ) -> DataFrame:
-    """All chosen registries as one lazy table of store rows."""
+    """All chosen registries as one lazy table of store rows.
+
+    With ``keep_order`` the rows keep their input order in ``_ord``: the
+    position of the registry, then their place in it.
+    """
     frames = []
-    for key, spec in select_specs(specs, keys).items():
+    for position, (key, spec) in enumerate(select_specs(specs, keys).items()):
         raw = landed_or_fallback(spark, spec, landed.get(key))
         if raw is not None:
-            frames.append(harmonise_registry(raw, spec).drop(ORD))
+            rows = harmonise_registry(raw, spec)
+            frames.append(rows.withColumn(ORD, _place(rows, position)) if keep_order else rows.drop(ORD))
     if not frames:
         raise ValueError("no registry has anything to harmonise")
     return H.union_registries(frames)
@@ -106,26 +131,30 @@ def embed_corpus(
 ) -> None:
     """Embed new or changed documents and upsert them into the store.
 
-    ``sources`` names the sources of the rows where they are known, as with
-    specs; otherwise they are looked up first.  Embedded rows are first written
-    to the shared folder, so that every text is encoded once although the
-    upsert reads its updates twice.
+    ``rows`` carry their input order in ``_ord``, by which the last row of an
+    id wins.  ``sources`` only says which folders hold what the rows may be
+    equal to; the folders that are rewritten always follow from the batch, so
+    that none loses rows.  Embedded rows are first written to the shared
+    folder, so that every text is encoded once although the upsert reads its
+    updates twice.
     """
     if ORD not in rows.columns:
-        rows = rows.withColumn(ORD, F.monotonically_increasing_id())
-    touched = F.col("source").isin(list(sources)) if sources else touched_sources(rows)
+        raise ValueError(f"embed_corpus needs the input order of its rows in {ORD}")
     changed = rows
     if path_exists(spark, path):
-        changed = changed_documents(rows, scan_vector_store(spark, path).where(touched))
+        among = F.col("source").isin(list(sources)) if sources else touched_sources(rows)
+        changed = changed_documents(rows, scan_vector_store(spark, path).where(among))
     embedded = (
         add_hash_vector(changed)
         if encoder is None
         else model_embed(changed, encoder, batch_size=batch_size)
     )
     staged = fresh_path(spark, "embedded")
-    embedded.write.parquet(staged)
-    upsert_by_id(spark, path, spark.read.parquet(staged), touched=touched)
-    discard(spark, staged)
+    try:
+        embedded.write.parquet(staged)
+        upsert_by_id(spark, path, spark.read.parquet(staged))
+    finally:
+        discard(spark, staged)
 
 
 def build_if_missing(spark: SparkSession, path: str, build: Callable[[], None]) -> bool:

@@ -233,23 +233,20 @@ _HASH = R.ctes("usaid_raw") + """,
     who AS (
         SELECT * FROM (
             SELECT event_type || '_' || user_id AS Code, props AS Name, event_id AS ord FROM events
-            QUALIFY row_number() OVER (PARTITION BY event_type || '_' || user_id ORDER BY event_id) = 1)
-        ORDER BY ord LIMIT 10000),
+            QUALIFY row_number() OVER (PARTITION BY event_type || '_' || user_id ORDER BY event_id) = 1)),
     mimic AS (
         SELECT * FROM (
             SELECT CAST(l_partkey AS VARCHAR) AS ItemID, 'supplied by ' || l_suppkey AS Label,
                    l_returnflag AS Fluid, l_linestatus AS Category, l_orderkey, l_linenumber, l_partkey, l_suppkey
             FROM lineitem
             QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey,
-                l_suppkey, l_returnflag, l_linestatus) = 1)
-        ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, Fluid, Category LIMIT 10000),
-    allofus AS (SELECT * FROM part ORDER BY p_partkey LIMIT 10000),
+                l_suppkey, l_returnflag, l_linestatus) = 1)),
+    allofus AS (SELECT * FROM part),
     nhanes AS (
         SELECT * FROM (
             SELECT CAST(conv_id AS VARCHAR) AS VariableID, role, text, conv_id, turn FROM conversations
-            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)
-        ORDER BY conv_id, turn LIMIT 10000),
-    ukb AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 10000),
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)),
+    ukb AS (SELECT * FROM customer),
     harmonised AS (
         SELECT 'DHS_' || IndicatorId AS id, 'USAID_DHS' AS source, IndicatorId AS indicator_id, ShortName AS short_name,
                'Source: USAID DHS | Indicator: ' || Label || ' | Definition: '

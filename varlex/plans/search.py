@@ -61,14 +61,15 @@ def search(
     scan; documents are joined back for the few winners.
     """
     per_query_n = "n" in queries.columns
-    most = fixed.MAX_RESULTS if per_query_n else n
+    # The over-fetch has to reach for the query that wants most.
+    most = (queries.agg(F.max("n")).first()[0] or 0) if per_query_n else n
     where = None
     if "sources" in queries.columns:
         if available_sources is None:
             available_sources = count_sources(store).first()["n_sources"]
         queries = queries.withColumn("_allowed", source_filter("sources", available_sources))
         where = {"source": "_allowed"}
-    wanted = F.least(F.col("n"), F.lit(fixed.MAX_RESULTS)) if per_query_n else F.lit(n)
+    wanted = F.col("n") if per_query_n else F.lit(n)
     limit = F.col("max_dist") if "max_dist" in queries.columns else F.lit(float(max_dist))
     candidates = (
         knn_join(
