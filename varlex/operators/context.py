@@ -1,11 +1,11 @@
 """Exports, context blocks and prompts built from final matches.
 
-Every group below is one query's final matches, at most ``n`` (1 to 10) rows.
+Every group below is one query's final matches, at most ``n`` rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varlex import fixed
@@ -22,9 +22,20 @@ def export_records(matches: DataFrame) -> DataFrame:
     )
 
 
-def target_ids(matches: DataFrame, rank: str = "final_rank") -> DataFrame:
-    """Non-empty variable ids of every query in rank order, repeats kept."""
-    return (
+def _for_every_query(found: DataFrame, queries: DataFrame | None, column: str, empty: Column) -> DataFrame:
+    """``found`` with a row for each of ``queries``; those without a match get the empty value."""
+    if queries is None:
+        return found
+    joined = queries.select("query_id").join(found, "query_id", "left")
+    return joined.select("query_id", F.coalesce(column, empty).alias(column))
+
+
+def target_ids(matches: DataFrame, rank: str = "final_rank", queries: DataFrame | None = None) -> DataFrame:
+    """Non-empty variable ids of every query in rank order, repeats kept.
+
+    With ``queries`` (``query_id``) those without any get an empty list.
+    """
+    found = (
         matches.where(F.col("variable_id") != "")
         .groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct(rank, "variable_id"))).alias("_ranked"))
@@ -32,17 +43,21 @@ def target_ids(matches: DataFrame, rank: str = "final_rank") -> DataFrame:
             "query_id", F.transform("_ranked", lambda r: r["variable_id"]).alias("target_ids")
         )
     )
+    return _for_every_query(found, queries, "target_ids", F.array().cast("array<string>"))
+
 
+def context_block(matches: DataFrame, rank: str = "final_rank", queries: DataFrame | None = None) -> DataFrame:
+    """One text per query: numbered matches with source, code and description.
 
-def context_block(matches: DataFrame, rank: str = "final_rank") -> DataFrame:
-    """One text per query: numbered matches with source, code and description."""
+    With ``queries`` (``query_id``) those without a match get an empty text.
+    """
     block = F.concat(
         F.lit("[Match #"), F.col(rank).cast("string"),
         F.lit(" | Source: "), F.coalesce("source_dataset", F.lit(fixed.NOT_AVAILABLE)),
         F.lit(" | Code: "), F.coalesce("variable_id", F.lit(fixed.NOT_AVAILABLE)),
         F.lit("]\n"), F.coalesce("description", F.lit("")),
     )
-    return (
+    found = (
         matches.select("query_id", rank, block.alias("_block"))
         .groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct(rank, "_block"))).alias("_ranked"))
@@ -53,6 +68,7 @@ def context_block(matches: DataFrame, rank: str = "final_rank") -> DataFrame:
             ).alias("context"),
         )
     )
+    return _for_every_query(found, queries, "context", F.lit(""))
 
 
 def build_prompt(queries: DataFrame, contexts: DataFrame, registers: str = "registers") -> DataFrame:

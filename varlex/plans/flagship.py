@@ -24,4 +24,4 @@ def context_for_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
         R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     )
     # Hash vectors of different texts are nearly orthogonal: squared distance about 2.
-    return context_block(search(queries, store, n=5, max_dist=2.0))
+    return context_block(search(queries, store, n=5, max_dist=2.0), queries=queries)

@@ -214,7 +214,7 @@ _UNIFIED = """
         SELECT 'NHANES' AS source_dataset,
                CASE WHEN l.quality IS NOT NULL THEN d.source END AS table_id,
                CAST(d.doc_id AS VARCHAR) AS variable_id, CAST(d.doc_id AS VARCHAR) AS variable_name,
-               CASE WHEN coalesce(l.toxic, 0) = 0 THEN d.text END AS description
+               d.text AS description
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
         UNION ALL
         SELECT 'UK_Biobank', concat_ws('_', 'Cat', CASE WHEN p_size > 10 THEN p_brand END),

@@ -46,12 +46,12 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usaid_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dictionary with copies (same text, same id), nulls and empty text."""
+    """A dictionary with copies (same text, same id) and nulls in its labels; every text is whole."""
     return labelled(spark, sf_dir).select(
         F.sha2("text", 256).alias("IndicatorId"),
         F.when(F.col("quality").isNotNull(), F.concat_ws(" ", "source", "lang")).alias("Label"),
         F.when(F.col("quality") == 1, F.col("source")).alias("ShortName"),
-        F.when(F.col("toxic") == 1, "").when(F.col("toxic") == 0, F.col("text")).alias("Definition"),
+        F.col("text").alias("Definition"),
         F.col("doc_id").alias(ORD),
     )
 
@@ -185,7 +185,7 @@ def unified_landed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     documents = labelled(spark, sf_dir).select(
         F.when(F.col("quality").isNotNull(), F.col("source")).alias("Component"),
         text("doc_id").alias("Item/Code"),
-        F.when(F.coalesce("toxic", F.lit(0)) == 0, F.col("text")).alias("Description"),
+        F.col("text").alias("Description"),
     )
     parts = table(spark, sf_dir, "part").select(
         text("p_partkey").alias("FieldID"),
@@ -333,7 +333,7 @@ ROLE_SQL = {
         SELECT sha256(d.text) AS IndicatorId,
                CASE WHEN l.quality IS NOT NULL THEN d.source || ' ' || d.lang END AS Label,
                CASE WHEN l.quality = 1 THEN d.source END AS ShortName,
-               CASE WHEN l.toxic = 1 THEN '' WHEN l.toxic = 0 THEN d.text END AS Definition,
+               d.text AS Definition,
                d.doc_id AS ord
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "vectors": """

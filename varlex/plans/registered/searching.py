@@ -182,12 +182,12 @@ def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = context.target_ids(_matches(spark, sf_dir))
+    ids = context.target_ids(_matches(spark, sf_dir), queries=R.search_queries(spark, sf_dir))
     return ids.select("query_id", F.array_join("target_ids", ",").alias("target_ids"))
 
 
 def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.context_block(_matches(spark, sf_dir))
+    return context.context_block(_matches(spark, sf_dir), queries=R.search_queries(spark, sf_dir))
 
 
 def build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,9 +338,12 @@ SQL = {
     "export_records": _SEARCH + """
         SELECT query_id, final_rank, source_dataset, table_id, variable_id, description FROM found""",
     "target_ids": _SEARCH + """
-        SELECT query_id, string_agg(variable_id, ',' ORDER BY final_rank) AS target_ids
-        FROM found WHERE variable_id <> '' GROUP BY query_id""",
-    "context_block": _SEARCH + " SELECT query_id, context FROM context",
+        SELECT q.query_id, coalesce(string_agg(f.variable_id, ',' ORDER BY f.final_rank), '') AS target_ids
+        FROM search_queries q LEFT JOIN found f ON f.query_id = q.query_id AND f.variable_id <> ''
+        GROUP BY q.query_id""",
+    "context_block": _SEARCH + """
+        SELECT q.query_id, coalesce(c.context, '') AS context
+        FROM search_queries q LEFT JOIN context c ON c.query_id = q.query_id""",
     "build_prompt": _SEARCH + f"""
         SELECT q.query_id, '{fixed.SYSTEM_PROMPT.format(registers="registers").replace("'", "''")}' AS system_prompt,
                'Context Blocks:' || chr(10) || coalesce(c.context, '') || chr(10) || chr(10)
