@@ -112,8 +112,13 @@ def select(texts: list[str], labels: np.ndarray) -> list[str]:
 
 
 def fit(texts: list[str], labels: list[int], importance: list[float]) -> Model:
-    """Gradient steps (Adam) on the documents' log-likelihood under the noisy-or."""
+    """Gradient steps (Adam) on the documents' log-likelihood under the noisy-or.
+
+    Labels of one class alone, or none, give a model that scores 1 or 0.
+    """
     y, share = np.array(labels, np.float64), np.array(importance, np.float64)
+    if not 0 < y.sum() < len(y):  # with one class alone there is nothing to tell apart
+        return Model({}, -40.0, 1 - 1e-9 if len(y) and y.all() else 0.0)
     share = share / max(share.sum(), 1e-9)
     chosen = {feature: k for k, feature in enumerate(select(texts, y))}
     row, column, document = [], [], []
@@ -167,13 +172,15 @@ def train(
     """
     fold = crc_mod("id", FOLDS)
     marks = inputs(labels, id=label_id, label=label).where(F.col("label").isin(0, 1) & (fold != HELD_OUT))
-    rows = inputs(docs, id=doc_id, text=text).where("text is not null").join(marks, "id")
-    known = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    short = rows.where(F.length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("text"))
-    # Equal texts count once; which are in the sample is settled before any text is shuffled.
-    once = durable(short.groupBy("h").agg(F.max("label").alias("class")))
-    hashes = [once.where(F.col("class") == c).orderBy("h").limit(per_class) for c in (0, 1)]
-    picked = short.select("h", "text").join(F.broadcast(durable(hashes[0].unionByName(hashes[1]))), "h")
+    rows = inputs(docs, id=doc_id, text=text).where("text is not null").where(F.length("text") <= SAMPLE_CHARS)
+    # Hashes stand for the texts in the join with the labels; equal texts count once.
+    hashes = rows.select("id", F.xxhash64("text").alias("h")).join(marks, "id")
+    once = durable(hashes.groupBy("h").agg(F.max("label").alias("class")))
+    known = {r["class"]: r["n"] for r in once.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    chosen = [once.where(F.col("class") == c).orderBy("h").limit(per_class) for c in (0, 1)]
+    # At most two times per_class hashes.
+    wanted = F.broadcast(durable(chosen[0].unionByName(chosen[1])))
+    picked = rows.select(F.xxhash64("text").alias("h"), "text").join(wanted, "h")
     sample = durable(picked.groupBy("h").agg(F.min("text").alias("text"), F.max("class").alias("label")))
     taken = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = {c: known.get(c, 0) / max(1, taken.get(c, 0)) for c in (0, 1)}
@@ -191,7 +198,7 @@ def train(
 
     weights = sample.select("text", "label").repartition(1).mapInArrow(run, "feature string, weight double").collect()
     found = {r["feature"]: r["weight"] for r in weights}
-    bias, leak = found.pop("bias", -8.0), found.pop("leak", 0.0)
+    bias, leak = found.pop("bias", -40.0), found.pop("leak", 0.0)
     return Model(found, bias, leak)
 
 
