@@ -70,6 +70,23 @@ def test_items_at_both_ends_and_over_pieces(monkeypatch):
     assert {f[2:] for f in index.search([text])} == whole
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_items_cut_by_a_text_end_between_other_texts(seed):
+    rng = random.Random(seed)
+    for cut in range(0, 24, 2):
+        item = plain(sentence(rng, 60))[:230].strip().ljust(230, "x")
+        index = decontaminate.Index(decontaminate.Items([0], [decontaminate.normalised(item)[0]]))
+        budget = int(index.budget[0])
+        assert budget == 23
+        before, after = sentence(rng, 70), sentence(rng, 70)
+        for text in (f"{sentence(rng, 40)} {item[:len(item) - cut]}", f"{item[cut:]} {sentence(rng, 40)}", item[cut // 2 :][: len(item) - cut]):
+            least = least_edits(item, plain(text))
+            found = [f for f in index.search([before, text, after]) if f[0] == 1]
+            assert [f[4] for f in found] == [least] and least <= budget
+            assert {f[0] for f in index.search([after, "", text, before])} == {2}
+            assert least_edits(item, plain(text[found[0][2] : found[0][3]])) == least
+
+
 def test_tables_with_odd_rows(spark):
     rows = odd_rows()
     items = [(7, rows[3][1]), (8, None), (9, "  "), (10, "short"), (11, rows[3][1]), (12, sentence(random.Random(77), 30))]

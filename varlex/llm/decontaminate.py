@@ -158,25 +158,37 @@ class Index:
         item, band = item[enough], band[enough]
         return item, band * self.span[item] - longest
 
-    def occurrences(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of occurrences within the budget, those of an item apart from each other."""
+    def occurrences(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of occurrences within the budget, those of an item apart from each other.
+
+        ``codes`` holds texts with one character behind each that no text
+        has, ``starts`` where each begins and where the next one would.  A
+        region is aligned in every text it touches, on that text alone.
+        """
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for k, low in zip(*(x.tolist() for x in self.regions(codes))):
+        items, lows = self.regions(codes)
+        highs = lows + 2 * self.span[items] - 1
+        # Texts that end behind the first diagonal and start no later than the last one.
+        begin = np.searchsorted(starts[1:] - 1, lows, "right")
+        stop = np.searchsorted(starts[:-1], highs, "right")
+        for k, low, high, a, b in zip(*(x.tolist() for x in (items, lows, highs, begin, stop))):
             item, budget = self.items.codes[k], int(self.budget[k])
-            high = low + 2 * int(self.span[k]) - 1
-            first = max(0, low)
-            part = codes[first : max(first, min(len(codes), high + len(item) + 1))].astype(np.int64)
-            at = part.tobytes().find(item.astype(np.int64).tobytes())
-            if at >= 0 and at % 8 == 0:  # as it is, so there is nothing to align
-                found.setdefault(k, []).append((0, first + at // 8, first + at // 8 + len(item)))
-                continue
-            edits, end = aligned(item, part, low - first, high - first)
-            if edits > budget:
-                continue
-            # Backwards from the end: where the occurrence starts.
-            back = part[:end][::-1]
-            _, length = aligned(item[::-1], back, -budget, budget, free_start=False)
-            found.setdefault(k, []).append((edits, first + end - length, first + end))
+            for own in range(a, b):
+                first = max(int(starts[own]), low)
+                part = codes[first : min(int(starts[own + 1]) - 1, high + len(item) + 1)].astype(np.int64)
+                if len(part) < len(item) - budget:
+                    continue
+                at = part.tobytes().find(item.astype(np.int64).tobytes())
+                if at >= 0 and at % 8 == 0:  # as it is, so there is nothing to align
+                    found.setdefault(k, []).append((0, first + at // 8, first + at // 8 + len(item)))
+                    continue
+                edits, end = aligned(item, part, low - first, high - first)
+                if edits > budget:
+                    continue
+                # Backwards from the end: where the occurrence starts.
+                back = part[:end][::-1]
+                _, length = aligned(item[::-1], back, -budget, budget, free_start=False)
+                found.setdefault(k, []).append((edits, first + end - length, first + end))
         kept = []
         for k, places in found.items():
             taken: list[tuple[int, int, int]] = []
@@ -206,16 +218,15 @@ class Index:
     def _searched(self, pending: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int]]:
         if not pending:
             return
-        # A character that no text has keeps occurrences from reaching over texts.
+        # A character that no text has keeps q-grams from reaching over texts.
         gap = np.array([0], np.uint32)
         joined = np.concatenate([x for _, codes, _ in pending for x in (codes, gap)])
         starts = np.cumsum([0] + [len(codes) + 1 for _, codes, _ in pending])
-        for k, start, end, edits in self.occurrences(joined):
+        for k, start, end, edits in self.occurrences(joined, starts):
             at = int(np.searchsorted(starts, start, "right")) - 1
-            row, codes, places = pending[at]
+            row, _, places = pending[at]
             first, last = start - int(starts[at]), end - int(starts[at])
-            if first < last <= len(codes):
-                yield row, k, int(places[first]), int(places[last - 1]) + 1, edits
+            yield row, k, int(places[first]), int(places[last - 1]) + 1, edits
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Items]:
