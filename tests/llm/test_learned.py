@@ -43,6 +43,34 @@ def test_toxic_documents_and_their_sentences_are_found(model):
             assert all(any(b in text[s:e] for b in BAD) for s, e, _ in places)
 
 
+def glued(seed, count):
+    """Texts in one run of letters for each sentence; in toxic ones a term stands behind 40 letters."""
+    rng = random.Random(seed)
+    texts, labels = [], []
+    for _ in range(count):
+        runs = [sentence(rng, 20).replace(" ", "") for _ in range(rng.randint(1, 6))]
+        toxic = rng.random() < 0.4
+        if toxic:
+            at = rng.randrange(len(runs))
+            runs[at] = runs[at][:45].ljust(45, "n") + rng.choice(BAD) + runs[at][45:]
+        texts.append(". ".join(runs))
+        labels.append(int(toxic))
+    return texts, labels
+
+
+def test_terms_behind_forty_letters_are_learnt_and_found(model):
+    # Met in scoring, by a model that learnt the terms as words.
+    text = "an" * 30 + "idiot" + "an" * 30
+    assert toxicity.Scorer(toxicity.Model({"idiot": 9.0}, -5.0, 0.0)).score(text)[0] > toxicity.THRESHOLD
+    assert toxicity.Scorer(model).logits(text)[0][2] > toxicity.Scorer(model).logits("an" * 62)[0][2]
+    # Learnt from such runs alone.
+    scorer = toxicity.Scorer(toxicity.fit(*(known := glued(4, 400)), [1.0] * len(known[0])))
+    texts, labels = glued(5, 200)
+    assert sum((scorer.score(t)[0] >= toxicity.THRESHOLD) == bool(y) for t, y in zip(texts, labels)) >= 190
+    # A long run in one word.
+    assert scorer.score("ti" * 200_000 + "idiot")[0] > toxicity.THRESHOLD
+
+
 def test_noisy_or_of_sentences(model):
     scorer = toxicity.Scorer(model)
     text = "an re ti.\nou idiot st! an"

@@ -42,10 +42,13 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
         start = end + 1
 
 
-def features(word: str) -> set[str]:
-    """A word and the character n-grams it has, its start marked; very long words count by their first 40 characters."""
-    marked = "^" + word[:40]
-    return {marked + "$", *(marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1))}
+def parts(word: str) -> Iterator[str]:
+    """A whole word and the character n-grams it has, its start marked, with repeats: one at a time, as a run of letters may be long."""
+    marked = "^" + word
+    yield marked + "$"
+    for n in GRAMS:
+        for k in range(len(marked) - n + 1):
+            yield marked[k : k + n]
 
 
 @dataclass(frozen=True)
@@ -71,9 +74,9 @@ class Scorer:
     def logits(self, text: str) -> list[tuple[int, int, float]]:
         """Start, end and log-odds of each sentence that has a word."""
         found = list(sentences(text))
-        known, get, bias = self.known, self.model.weights.get, self.model.bias
+        known, weights, bias = self.known, self.model.weights, self.model.bias
         for word in known.missing(chain.from_iterable(words for _, _, words in found)):
-            known[word] = sum(get(f, 0.0) for f in features(word))
+            known[word] = sum(weights[f] for f in {f for f in parts(word) if f in weights})
         return [(start, end, bias + sum(map(known.__getitem__, words))) for start, end, words in found]
 
     def score(self, text: str | None, threshold: float = THRESHOLD) -> tuple[float, list[tuple[int, int, float]]]:
@@ -96,9 +99,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def select(texts: list[str], labels: np.ndarray) -> list[str]:
     """Features that toxic documents have significantly more often than the others."""
     toxic, clean = Counter(), Counter()
-    for text, label in zip(texts, labels):
+    # Toxic documents first: of the others only what those have is counted.
+    for text, label in sorted(zip(texts, labels), key=lambda pair: not pair[1]):
         words = set().union(*(words for _, _, words in sentences(text)))
-        (toxic if label else clean).update(set().union(*map(features, words)))
+        if label:
+            toxic.update({f for word in words for f in parts(word)})
+        else:
+            clean.update({f for word in words for f in parts(word) if f in toxic})
     n1, n0 = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
     rated = []
     for feature, a in toxic.items():
@@ -125,11 +132,9 @@ def fit(texts: list[str], labels: list[int], importance: list[float]) -> Model:
     for k, text in enumerate(texts):
         for _, _, words in sentences(text):
             for word in words:
-                for feature in features(word):
-                    at = chosen.get(feature)
-                    if at is not None:
-                        row.append(len(document))
-                        column.append(at)
+                for feature in {f for f in parts(word) if f in chosen}:
+                    row.append(len(document))
+                    column.append(chosen[feature])
             document.append(k)
     row, column, document = (np.array(x, np.int64) for x in (row, column, document))
     weights = np.zeros(len(chosen))
