@@ -1,6 +1,6 @@
 """Operators that prepare training data for language models, each with a registered query."""
 
-from varlex.llm import best_fit, bpe_replay, decontaminate, language_id, line_dedup, quality, repair_output, sharding, simhash_trie, spelling, token_counts, toxicity
+from varlex.llm import alignment, best_fit, bpe_replay, decontaminate, language_id, line_dedup, quality, repair_output, sharding, simhash_trie, spelling, token_counts, toxicity
 
 QUERIES = {
     "op1_noisy_or": toxicity.op1_noisy_or,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_qgram_bands": decontaminate.op10_qgram_bands,
     "op11_trie_pairs": spelling.op11_trie_pairs,
     "op12_best_fit": best_fit.op12_best_fit,
+    "op13_merge_path": alignment.op13_merge_path,
 }
 
 SQL = {"op7_adaptive_quality": quality.OP7_SQL}
