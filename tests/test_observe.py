@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varlex.operators import observe as O
 from varlex.operators.ordering import ORD
+from varlex.operators.skew import HEAVY_SHARE, heavy_buckets, maybe_wanted, with_salt
 from varlex.plans.observations import observations_for_matches
 
 N = 7
@@ -37,25 +38,46 @@ def brute(data, names, n=N):
     return sorted(result)
 
 
-@pytest.mark.parametrize("few", [True, False, None])
-def test_first_n_of_every_target_record(spark, observations, few):
+@pytest.mark.parametrize("heavy_share", [1, HEAVY_SHARE, 1 << 40])
+def test_first_n_of_every_target_record(spark, observations, heavy_share):
     df, data = observations
     # A third of the targets name the hot variable, some appear twice, one nowhere.
     names = ["hot" if i % 3 == 0 else f"v{i % 20}" for i in range(60)] + ["absent"]
-    found = O.who_observations(targets(spark, names), df, N, few=few)
+    found = O.who_observations(targets(spark, names), df, N, heavy_share=heavy_share)
     got = sorted((r["target_ordinal"], r["observation_rank"], int(r["Value"])) for r in found.collect())
     assert got == brute(data, names)
 
 
 def test_hot_variable_is_limited_before_the_shuffle(spark, observations):
     df, _ = observations
-    plan = O.who_observations(targets(spark, ["hot"]), df, N, few=True)._jdf.queryExecution().executedPlan().toString()
+    plan = O.who_observations(targets(spark, ["hot"]), df, N)._jdf.queryExecution().executedPlan().toString()
     shuffle = plan.index("Exchange hashpartitioning(variable_id")
     assert "Partial" in plan[shuffle:] and "WindowGroupLimit" in plan[shuffle:]
     assert "BroadcastHashJoin" in plan[shuffle:]  # other variables are dropped in the scan stage
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_only_heavy_keys_are_spread(spark):
+    names = ["hot" if i % 3 == 0 else f"v{i % 200}" for i in range(3000)]
+    rows = targets(spark, names)
+    salted = with_salt(rows, heavy_buckets(rows, ["variable_id"]), ["variable_id"], F.col("target_ordinal"))
+    per_key = {r["variable_id"]: (r["salts"], r["n"]) for r in salted.groupBy("variable_id").agg(
+        F.count_distinct("_salt").alias("salts"), F.count("*").alias("n")).collect()}
+    assert per_key["hot"] == (32, 1000)
+    assert all(salts == 1 for name, (salts, _) in per_key.items() if name != "hot")
+    largest = salted.groupBy("variable_id", "_salt").count().agg(F.max("count")).first()[0]
+    assert largest < 100
+
+
+def test_the_bitmap_loses_no_wanted_key(spark):
+    rows = spark.range(50_000).select(F.col("id").cast("string").alias("k"))
+    wanted = rows.where("cast(k as int) % 10 = 3")
+    left = maybe_wanted(rows, wanted, ["k"])
+    assert left.join(wanted, "k").count() == 5_000
+    assert left.count() < 5_100
+    assert maybe_wanted(rows, wanted.where("false"), ["k"]).count() == 0
+
+
 def wide(spark):
     return spark.createDataFrame(
         [("DEMO_J", 3, 1.0, None), ("DEMO_J", 1, 2.0, 5.0), ("DEMO_J", 2, None, 6.0), ("BMX_J", 9, 4.0, 7.0),

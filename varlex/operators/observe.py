@@ -11,11 +11,8 @@ from pyspark.sql import types as T
 from varlex import fixed
 from varlex.functions import text as X
 from varlex.operators.ordering import ORD, first_n, order_columns
+from varlex.operators.skew import HEAVY_SHARE, heavy_buckets, maybe_wanted, with_all_salts, with_salt
 
-# Ceiling on the target list that may be broadcast; beyond it a salted
-# shuffle join is used.
-MAX_BROADCAST_TARGETS = 200_000
-TARGET_SALTS = 8
 TARGET_COLUMNS = ["target_ordinal", "variable_id", "source_dataset"]
 
 
@@ -37,11 +34,6 @@ def route_targets(records: DataFrame) -> DataFrame:
     )
 
 
-def few_targets(targets: DataFrame, limit: int = MAX_BROADCAST_TARGETS) -> bool:
-    """True if there are at most ``limit`` targets; reads at most one row more."""
-    return targets.limit(limit + 1).count() <= limit
-
-
 def limit_per_target(
     observations: DataFrame, n: int, keys: list[str], order: Column | str = ORD
 ) -> DataFrame:
@@ -61,31 +53,25 @@ def observations_of(
     n: int,
     keys: list[str] | None = None,
     order: Column | str = ORD,
-    few: bool | None = None,
+    heavy_share: int = HEAVY_SHARE,
 ) -> DataFrame:
     """First n observations of every target record.
 
-    Few targets (counted unless the caller has done so): their keys are broadcast to drop all other
-    observations in the scan stage, and the targets are broadcast again onto
-    the at most n rows per key.  Many targets: both sides meet in a shuffle on
-    (key, salt), the limited observations copied to every salt, so one variable
-    named by a third of all targets is spread over several tasks.
+    One plan for target lists of any length.  A bitmap of the targets' keys
+    drops other variables in the scan stage, before anything is ranked.  A
+    variable that many observations share sends n rows from each map
+    partition; these are merged in lanes first, so no task reads them all.
+    Both sides then meet on the key, those of a variable that many targets
+    name on (key, salt): only its n observations are copied to all salts.
     """
     keys = keys or ["variable_id"]
     wanted = targets.select(*dict.fromkeys(TARGET_COLUMNS + keys))
     order_columns = [ORD] if ORD in observations.columns else []
     rows = observations.select(*dict.fromkeys(keys + columns + order_columns))
-    few = few_targets(wanted) if few is None else few
-    if few:
-        rows = rows.join(F.broadcast(wanted.select(*keys).distinct()), keys, "left_semi")
-    limited = limit_per_target(rows, n, keys, order).drop(ORD)
-    if few:
-        return limited.join(F.broadcast(wanted), keys)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(TARGET_SALTS - 1)))
-    salted = wanted.withColumn(
-        "_salt", F.pmod(F.xxhash64("target_ordinal"), F.lit(TARGET_SALTS)).cast("int")
-    )
-    return salted.join(limited.withColumn("_salt", salts), [*keys, "_salt"]).drop("_salt")
+    limited = limit_per_target(maybe_wanted(rows, wanted, keys), n, keys, order).drop(ORD)
+    heavy = heavy_buckets(wanted, keys, heavy_share)
+    salted = with_salt(wanted, heavy, keys, F.col("target_ordinal"))
+    return salted.join(with_all_salts(limited, heavy, keys), [*keys, "_salt"]).drop("_salt")
 
 
 def who_observations(

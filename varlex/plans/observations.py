@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varlex import fixed
 from varlex.operators import observe as O
+from varlex.operators.skew import HEAVY_SHARE
 
 
 def observations_for_matches(
@@ -15,7 +16,7 @@ def observations_for_matches(
     dhs: DataFrame | None = None,
     wide: DataFrame | None = None,
     n: int = fixed.OBSERVATIONS_PER_MATCH,
-    max_broadcast_targets: int = O.MAX_BROADCAST_TARGETS,
+    heavy_share: int = HEAVY_SHARE,
 ) -> DataFrame:
     """First n observations of every valid match, families stacked.
 
@@ -23,8 +24,7 @@ def observations_for_matches(
     match whose family is unknown or whose variable has no rows adds nothing.
     """
     targets = O.route_targets(O.valid_targets(records))
-    # One count covers all families: each has at most as many targets.
-    options = {"few": O.few_targets(targets, max_broadcast_targets)}
+    options = {"heavy_share": heavy_share}
     frames = []
     if who is not None:
         frames.append(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.operators import cell_index, voronoi
+from varlex.operators import cell_index, gazetteer, postings, voronoi
 from varlex.plans.registered import roles as R
-from varlex.plans.registered.searching import K, _nearest, _ranks
+from varlex.plans.registered.searching import _CANDIDATES, _LOG, K, _candidates, _nearest, _ranks
 from varlex.session import fresh_path
 
 NPROBE = 3
@@ -61,8 +61,56 @@ def knn_join_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+# -- names in texts ------------------------------------------------------------
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All part names, and as names the first one, two or three words of every document."""
+    parts = R.table(spark, sf_dir, "part").select(
+        F.col("p_name").alias("name"), F.lit("PART").alias("label"), F.col("p_brand").alias("meaning")
+    )
+    words = gazetteer.word_sequence("text")
+    starts = R.table(spark, sf_dir, "documents").select(
+        F.array_join(F.slice(words, F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), " ").alias("name"),
+        F.upper("lang").alias("label"), F.col("source").alias("meaning"),
+    )
+    return parts.unionByName(starts)
+
+
+def link_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in every conversation turn."""
+    log = R.table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("query_id"), F.col("text").alias("query")
+    )
+    linked = gazetteer.annotate_with_names(log, names(spark, sf_dir))
+    each = F.transform("named_entities", lambda e: F.concat_ws("|", e["text"], e["label"], e["meaning"]))
+    return linked.select("query_id", F.size("named_entities").cast("bigint").alias("n_entities"), F.array_join(each, ";").alias("entities"))
+
+
+# -- postings ------------------------------------------------------------------
+def _postings(spark: SparkSession, sf_dir: str) -> str:
+    """All store documents, of which every other one replaces another text of an earlier batch."""
+    path = fresh_path(spark, "postings")
+    docs = R.store(spark, sf_dir).select("id", "document")
+    early = docs.where(F.xxhash64("id") % 2 == 0).select("id", F.concat_ws(" ", F.lit("earlier text of"), "id").alias("document"))
+    postings.add_documents(spark, early, path, buckets=8)
+    postings.add_documents(spark, docs, path, buckets=8)
+    return path
+
+
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.term_statistics(spark, _postings(spark, sf_dir))
+
+
+def bm25_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest documents of every benchmark text, reranked by BM25."""
+    ranked = postings.bm25_rerank(spark, _candidates(spark, sf_dir), _postings(spark, sf_dir), buckets=8)
+    return _ranks(ranked).select("query_id", "id", "vector_rank", "rerank_score", "final_rank")
+
+
 QUERIES = {
-    fn.__name__: fn for fn in (cell_index_search, cell_index_codes, cell_index_recall, knn_join_voronoi)
+    fn.__name__: fn
+    for fn in (
+        cell_index_search, cell_index_codes, cell_index_recall, knn_join_voronoi, link_entities, term_statistics, bm25_rerank,
+    )
 }
 
 _GAP = "round(pow(list_distance(x.vector, c.centre), 2), 6)"
@@ -91,7 +139,58 @@ _BEST = ", ".join(f"""
         SELECT query_id, id FROM scored WHERE probe <= {n}
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= {K})""" for n in PROBES)
 
+_SEQUENCE = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+_ENTITIES = _LOG.replace("WITH log", "WITH RECURSIVE log") + f""",
+    named AS (
+        SELECT {_SEQUENCE.format("p_name")} AS words, 'PART' AS label, p_brand AS meaning FROM part
+        UNION ALL
+        SELECT {_SEQUENCE.format("text")}[1:doc_id % 3 + 1], upper(lang), source FROM documents),
+    gazetteer AS (
+        SELECT array_to_string(words, ' ') AS spelled, len(words) AS n, label, meaning FROM named WHERE len(words) > 0
+        QUALIFY row_number() OVER (PARTITION BY words ORDER BY label NULLS FIRST, meaning NULLS FIRST) = 1),
+    texts AS (SELECT query_id, {_SEQUENCE.format("query")} AS words FROM log),
+    places AS (SELECT query_id, words, unnest(range(1, len(words) + 1)) AS pos FROM texts),
+    tried AS (
+        SELECT query_id, pos, unnest(range(1, 4)) AS n, array_to_string(words[pos:pos + 2], ' ') AS whole, words FROM places),
+    found AS (
+        SELECT t.query_id, t.pos, g.n, g.spelled, g.label, g.meaning
+        FROM tried t JOIN gazetteer g ON g.n = t.n AND t.pos + t.n - 1 <= len(t.words)
+            AND g.spelled = array_to_string(t.words[t.pos:t.pos + t.n - 1], ' ')
+        QUALIFY row_number() OVER (PARTITION BY t.query_id, t.pos ORDER BY g.n DESC) = 1),
+    picked AS (
+        SELECT query_id, min(pos) AS pos FROM found GROUP BY query_id
+        UNION ALL
+        SELECT p.query_id, (SELECT min(g.pos) FROM found g WHERE g.query_id = p.query_id AND g.pos >= f.pos + f.n)
+        FROM picked p JOIN found f ON f.query_id = p.query_id AND f.pos = p.pos),
+    listed AS (
+        SELECT f.query_id, count(*) AS n_entities,
+               string_agg(concat_ws('|', f.spelled, f.label, f.meaning), ';' ORDER BY f.pos) AS entities
+        FROM picked p JOIN found f ON f.query_id = p.query_id AND f.pos = p.pos GROUP BY f.query_id)
+    SELECT l.query_id, coalesce(n_entities, 0) AS n_entities, coalesce(entities, '') AS entities
+    FROM log l LEFT JOIN listed USING (query_id)"""
+
+_TERMS = f""",
+    tokens AS (SELECT id, unnest({_SEQUENCE.format("document")}) AS term FROM store),
+    tf AS (SELECT id, term, count(*) AS tf FROM tokens GROUP BY id, term),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
+
 SQL = {
+    "link_entities": _ENTITIES,
+    "term_statistics": R.ctes("store") + _TERMS + " SELECT term, df FROM df",
+    "bm25_rerank": _CANDIDATES.replace(R.ctes("store", "search_queries"), R.ctes("store", "search_queries") + _TERMS, 1) + f""",
+        sizes AS (SELECT s.id, coalesce(sum(t.tf), 0) AS length FROM store s LEFT JOIN tf t ON t.id = s.id GROUP BY s.id),
+        whole AS (SELECT count(*) AS docs, sum(length) / count(*) AS average FROM sizes),
+        asked AS (SELECT DISTINCT query_id, unnest({_SEQUENCE.format("query")}) AS term FROM search_queries),
+        parts AS (
+            SELECT n.query_id, n.id, CAST(round(ln(1 + (w.docs - df.df + 0.5) / (df.df + 0.5)) * 2.2::DOUBLE
+                * (tf.tf / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * s.length / w.average))), 6) AS DECIMAL(18, 6)) AS part
+            FROM nearest n JOIN asked a ON a.query_id = n.query_id JOIN df ON df.term = a.term
+                JOIN tf ON tf.id = n.id AND tf.term = a.term JOIN sizes s ON s.id = n.id CROSS JOIN whole w),
+        sums AS (SELECT query_id, id, CAST(sum(part) AS DOUBLE) AS score FROM parts GROUP BY query_id, id)
+        SELECT n.query_id, n.id, n.vector_rank, coalesce(s.score, 0.0) AS rerank_score,
+               row_number() OVER (PARTITION BY n.query_id ORDER BY coalesce(s.score, 0.0) DESC, n.vector_rank) AS final_rank
+        FROM nearest n LEFT JOIN sums s ON s.query_id = n.query_id AND s.id = n.id""",
     "cell_index_search": _CELLS + f"""
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS vector_rank, id, distance
         FROM scored WHERE probe <= {NPROBE} QUALIFY vector_rank <= {K}""",

@@ -10,7 +10,7 @@ from varlex.operators.ordering import ORD
 from varlex.plans.ingest import harmonise, harmonise_unified
 from varlex.plans.registered import roles as R
 from varlex.session import fresh_path
-from varlex.sources import files, landing, sinks, stores
+from varlex.sources import bucket_store, files, landing, sinks, stores
 from varlex.specs import HASH_SPECS
 
 
@@ -150,6 +150,14 @@ def scan_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents stored by source, then labelled ones replaced, twice for good ones."""
     path = fresh_path(spark, "upserted")
+    first, second = _landings(spark, sf_dir)
+    sinks.upsert_by_id(spark, path, first)
+    sinks.upsert_by_id(spark, path, second)
+    return stores.scan_vector_store(spark, path).select("id", "source", "short_name", "document")
+
+
+def _landings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents; then labelled ones with another text, good ones twice, and toxic ones under a new id."""
     documents = R.table(spark, sf_dir, "documents")
 
     def row(identifier, document, order):
@@ -161,7 +169,6 @@ def upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
 
     key = F.concat(F.lit("doc_"), R.text("doc_id"))
-    sinks.upsert_by_id(spark, path, documents.select(*row(key, F.col("text"), F.col("doc_id"))))
     labelled = R.labelled(spark, sf_dir).where(F.col("quality").isNotNull())
     first = labelled.select(*row(key, F.lit("replaced"), F.col("doc_id")))
     again = labelled.where(F.col("quality") == 1).select(
@@ -170,8 +177,28 @@ def upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = labelled.where(F.col("toxic") == 1).select(
         *row(F.concat(key, F.lit("_new")), F.lit("inserted"), F.col("doc_id"))
     )
-    sinks.upsert_by_id(spark, path, first.unionByName(again).unionByName(new))
-    return stores.scan_vector_store(spark, path).select("id", "source", "short_name", "document")
+    return documents.select(*row(key, F.col("text"), F.col("doc_id"))), first.unionByName(again).unionByName(new)
+
+
+def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same landings in a versioned bucket store, the second one sent twice."""
+    path = fresh_path(spark, "bucketed")
+    first, second = _landings(spark, sf_dir)
+    bucket_store.upsert(spark, path, first, "first", buckets=8)
+    bucket_store.upsert(spark, path, second, "second")
+    bucket_store.upsert(spark, path, second, "second")
+    return bucket_store.read_store(spark, path).select("id", "source", "short_name", "document")
+
+
+def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all labelled documents, toxic ones with an appended line, those that the store doesn't hold so."""
+    path = fresh_path(spark, "bucketed")
+    bucket_store.upsert(spark, path, _landings(spark, sf_dir)[0], "first", buckets=8)
+    sent = R.labelled(spark, sf_dir).where(F.col("quality").isNotNull()).select(
+        F.concat(F.lit("doc_"), R.text("doc_id")).alias("id"), "source",
+        F.when(F.col("toxic") == 1, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text")).alias("document"),
+    )
+    return bucket_store.changed_documents(spark, path, sent)
 
 
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,11 +231,16 @@ QUERIES = {
     "scan_wide_measure_table": scan_wide_measure_table,
     "scan_observations": scan_observations,
     "upsert_by_id": upsert_by_id,
+    "bucket_upsert": bucket_upsert,
+    "changed_documents": changed_documents,
     "export_csv": export_csv,
     "export_json_records": export_json_records,
 }
 
 SQL = {
+    "changed_documents": """
+        SELECT 'doc_' || d.doc_id AS id, d.source, d.text || chr(10) || 'more' AS document
+        FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1 AND l.quality IS NOT NULL""",
     "scan_json_envelope": R.ctes("usaid_raw") + """
         SELECT IndicatorId, Label, Definition FROM usaid_raw""",
     "scan_csv": """
@@ -268,3 +300,5 @@ SQL = {
     "export_json_records": R.ctes("usaid_raw") + """
         SELECT IndicatorId, Label, ShortName, Definition FROM usaid_raw""",
 }
+
+SQL["bucket_upsert"] = SQL["upsert_by_id"]
