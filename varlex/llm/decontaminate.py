@@ -201,32 +201,49 @@ class Index:
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) with places in the texts as they are."""
         longest = max((len(c) + int(b) for c, b in zip(self.items.codes, self.budget)), default=0)
-        pending: list[tuple[int, np.ndarray, np.ndarray]] = []
+        pending: list[tuple[int, np.ndarray, np.ndarray, int]] = []
         size = 0
+        # Of each (text, item), how far what earlier pieces found reaches, and the piece that found it last.
+        ends: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+        def new() -> Iterator[tuple[int, int, int, int, int]]:
+            for piece, (row, item, start, end, edits) in sorted(self._searched(pending)):
+                before, last, here = ends.get((row, item), (0, piece, 0))
+                if piece != last:
+                    before, here = max(before, here), 0
+                # A later piece sees the rest of an occurrence that starts before it.
+                if start >= before:
+                    ends[row, item] = (before, piece, max(here, end))
+                    yield row, item, start, end, edits
+
         for row, text in enumerate(texts):
             codes, places = normalised(text)
-            # Long texts in pieces that overlap by more than an occurrence.
+            # Long texts in pieces that overlap by more than an occurrence, which counts where it starts.
             for start in range(0, max(1, len(codes)), PIECE):
                 end = start + PIECE + longest
-                pending.append((row, codes[start:end], places[start:end]))
+                pending.append((row, codes[start:end], places[start:end], PIECE if end < len(codes) else end - start))
                 size += len(pending[-1][1])
                 if size >= PIECE:
-                    yield from self._searched(pending)
+                    yield from new()
                     pending, size = [], 0
-        yield from self._searched(pending)
+        yield from new()
 
-    def _searched(self, pending: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int]]:
+    def _searched(
+        self, pending: list[tuple[int, np.ndarray, np.ndarray, int]]
+    ) -> Iterator[tuple[int, tuple[int, int, int, int, int]]]:
+        """(first place of the piece, occurrence) of the pieces put together."""
         if not pending:
             return
         # A character that no text has keeps q-grams from reaching over texts.
         gap = np.array([0], np.uint32)
-        joined = np.concatenate([x for _, codes, _ in pending for x in (codes, gap)])
-        starts = np.cumsum([0] + [len(codes) + 1 for _, codes, _ in pending])
+        joined = np.concatenate([x for _, codes, _, _ in pending for x in (codes, gap)])
+        starts = np.cumsum([0] + [len(codes) + 1 for _, codes, _, _ in pending])
         for k, start, end, edits in self.occurrences(joined, starts):
             at = int(np.searchsorted(starts, start, "right")) - 1
-            row, _, places = pending[at]
+            row, _, places, counted = pending[at]
             first, last = start - int(starts[at]), end - int(starts[at])
-            yield row, k, int(places[first]), int(places[last - 1]) + 1, edits
+            if first < counted:
+                yield int(places[0]), (row, k, int(places[first]), int(places[last - 1]) + 1, edits)
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Items]:
