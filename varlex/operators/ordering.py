@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 ORD = "_ord"
 ROW_GROUP_BYTES = 128 << 20
+SPLITS_BROADCAST = 100_000
 
 
 def with_scan_order(scan: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def cap_rows(
 def row_index(
     df: DataFrame, order: str = ORD, name: str = "row_index", buckets: int | None = None
 ) -> DataFrame:
-    """0-based position of every row in the order of a unique numeric column.
+    """0-based position of every row in the order of a unique numeric column; null orders come last.
 
     Quantiles of the order column give range buckets.  A bucket's offset is the
     number of rows in the buckets before it (one row per bucket), and rows are
@@ -148,18 +149,32 @@ def row_index(
     ).first()["cuts"]
     splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
     keyed = df.withColumn("_position", F.col(order).cast("double"))
-    bucketed = Bucketizer(splits=splits, inputCol="_position", outputCol="_bucket").transform(keyed)
-    return _number_within(bucketed, ["_bucket"], [F.col(order)], name, bounded=True).drop(
+    ranges = Bucketizer(splits=splits, inputCol="_position", outputCol="_bucket", handleInvalid="keep").transform(keyed)
+    bucketed = ranges.withColumn("_bucket", F.when(F.col("_position").isNull(), float(len(splits))).otherwise(F.col("_bucket")))
+    return _number_within(bucketed, ["_bucket"], [F.col(order).asc_nulls_last()], name, bounded=True).drop(
         "_position", "_bucket"
     )
 
 
 def scan_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """0-based row number over a file scan that carries ``with_scan_order``."""
-    keyed = df.withColumns({"_file": F.col(f"{ORD}.file"), "_block": F.col(f"{ORD}.block")})
-    return _number_within(
-        keyed, ["_file", "_block"], [F.col(f"{ORD}.seq")], name, bounded=False
-    ).drop("_file", "_block")
+    """0-based row number over a file scan that carries ``with_scan_order``; call it before rows are dropped.
+
+    The rows of a split follow one another, so a row's number is its split's
+    offset and its distance from the split's first row.  Rows aren't moved:
+    one row for each split comes back to them, broadcast for up to
+    ``SPLITS_BROADCAST`` files (some 20 MB) and joined as Spark chooses beyond.
+    """
+    split = df.groupBy(F.col(f"{ORD}.file").alias("_file"), F.col(f"{ORD}.block").alias("_block"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = split.agg(F.count("*").alias("_rows"), F.min(f"{ORD}.seq").alias("_first")).select(
+        "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    )
+    if len(df.inputFiles()) <= SPLITS_BROADCAST:
+        splits = F.broadcast(splits)
+    here = (F.col(f"{ORD}.file") == F.col("_file")) & (F.col(f"{ORD}.block") == F.col("_block"))
+    return df.join(splits, here).withColumn(name, F.col("_offset") + F.col(f"{ORD}.seq") - F.col("_first")).drop(
+        "_file", "_block", "_first", "_offset"
+    )
 
 
 def _number_within(

@@ -16,6 +16,7 @@ from varlex.operators import harmonise as H
 from varlex.operators.embed import EncoderFactory, add_hash_vector, changed_documents, model_embed
 from varlex.operators.ordering import ORD, cap_rows, dedup_keep_first, number_rows
 from varlex.operators.report import REPORT_SCHEMA
+from varlex.operators.row_ledger import RowLedger
 from varlex.session import discard, fresh_path, path_exists
 from varlex.sources.landing import seed_rows
 from varlex.sources.sinks import touched_sources, upsert_by_id
@@ -26,9 +27,12 @@ from varlex.specs import ROW_INDEX, RegistrySpec, select_specs
 Landed = Mapping[str, DataFrame | None]
 
 
-def harmonise_registry(raw: DataFrame, spec: RegistrySpec) -> DataFrame:
+def harmonise_registry(raw: DataFrame, spec: RegistrySpec, first_row: int = 0) -> DataFrame:
     """One raw dictionary as store rows (without vector), input order kept.
 
+    ``first_row`` is the number of the first row, for registries whose ids may
+    be row numbers and that land in several batches.
+
     The order of steps matters: nulls are filled before duplicates are dropped,
     so all rows with a null key become one row.  A cap, where a spec sets one,
     comes last; no spec of the package does.
@@ -37,7 +41,7 @@ def harmonise_registry(raw: DataFrame, spec: RegistrySpec) -> DataFrame:
     df = H.backfill_missing_columns(df, spec.backfill)
     carried = [*spec.columns, ORD]
     if spec.needs_row_index:
-        df = number_rows(df, ROW_INDEX)
+        df = number_rows(df, ROW_INDEX).withColumn(ROW_INDEX, F.col(ROW_INDEX) + F.lit(first_row))
         carried.append(ROW_INDEX)
     df = H.project_canonical(df, carried)
     if spec.fill is None:
@@ -173,11 +177,14 @@ def run_ingest(
     keys: Iterable[str] = ("all",),
     encoder: EncoderFactory | None = None,
     batch_size: int = fixed.ENCODE_BATCH,
+    batch: int | None = None,
 ) -> DataFrame:
     """Ingest registries one after another; a failing one does not stop the rest.
 
     Returns one report row per registry.  The loop runs over registries, each
-    of which is one distributed write.
+    of which is one distributed write.  Registries whose ids may be row
+    numbers go on counting from run to run, by a ledger beside the store;
+    ``batch`` repeats a run of that number instead of starting the next.
     """
     run = uuid.uuid4().hex
     report = []
@@ -189,7 +196,13 @@ def run_ingest(
             raw = landed_or_fallback(spark, spec, reader() if reader else None)
             if raw is not None:
                 counted = Observation()
-                rows = harmonise_registry(raw, spec).observe(
+                ledger = RowLedger(spark, f"{path}-rows/{key}") if spec.needs_row_index else None
+                if ledger:
+                    number = ledger.next_batch() if batch is None else batch
+                    # Committed first: a run that fails later leaves a gap, never numbers given twice.
+                    first = ledger.rows_before(number)
+                    ledger.commit(number, raw.count())
+                rows = harmonise_registry(raw, spec, first if ledger else 0).observe(
                     counted, F.count(F.lit(1)).alias("n_rows")
                 )
                 embed_corpus(spark, rows, path, encoder, batch_size, [spec.source])

@@ -11,6 +11,8 @@ from varlex.operators import observe as O
 from varlex.operators.ordering import ORD
 from varlex.plans.observations import observations_for_matches as for_matches
 from varlex.plans.registered import roles as R
+from varlex.session import fresh_path
+from varlex.sources import wide_tables
 
 N = fixed.OBSERVATIONS_PER_MATCH
 FEW = 5
@@ -69,6 +71,19 @@ def salted_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.longs(found, "observation_rank")
 
 
+def scan_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide tables in one folder each, some without a variable; the catalogue says which files a target needs."""
+    path, listed = fresh_path(spark, "wide"), fresh_path(spark, "catalogue")
+    rows = R.wide_rows(spark, sf_dir).drop(ORD)
+    demo = F.col("table_id") == "DEMO_J"
+    rows.where(demo).drop("c_acctbal").write.partitionBy("table_id").parquet(path)
+    rows.where(demo).drop("c_nationkey").write.mode("append").partitionBy("table_id").parquet(path)
+    rows.where(~demo).withColumn("other", F.lit("x")).write.mode("append").partitionBy("table_id").parquet(path)
+    wide_tables.write_catalogue(spark, path, listed)
+    targets = O.route_targets(O.valid_targets(R.records(spark, sf_dir))).where(F.col("family") == "NHANES")
+    return wide_tables.scan_targets(spark, wide_tables.read_catalogue(spark, listed), targets)
+
+
 def union_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw observation tables of two families stacked."""
     return O.union_observations([R.who_rows(spark, sf_dir).drop(ORD), R.dhs_rows(spark, sf_dir).drop(ORD)])
@@ -86,7 +101,7 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         valid_targets, route_source, route_table, who_observations, dhs_observations, wide_to_long,
-        wide_observations, limit_per_target, salted_observations, union_observations,
+        wide_observations, limit_per_target, salted_observations, scan_targets, union_observations,
         observations_for_matches,
     )
 }
@@ -129,6 +144,9 @@ SQL = {
     "dhs_observations": _ROUTED + " SELECT * FROM dhs",
     "wide_observations": _ROUTED + " SELECT * FROM wide",
     "wide_to_long": R.ctes("wide_long") + " SELECT table_id, variable_id, SEQN, value FROM wide_long",
+    "scan_targets": _ROUTED + """
+        SELECT o.table_id, o.variable_id, o.SEQN, o.value FROM wide_long o
+        WHERE EXISTS (SELECT 1 FROM targets t WHERE t.family = 'NHANES' AND t.variable_id = o.variable_id AND t.wide_table = o.table_id)""",
     "limit_per_target": R.ctes("who_rows") + f" SELECT * FROM who_rows WHERE observation_rank <= {FEW}",
     "union_observations": R.ctes("who_rows", "dhs_rows") + """
         SELECT variable_id, SpatialDim, TimeDim, NumericValue, Value,

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from varlex import fixed
 from varlex.operators.ordering import ORD
 from varlex.plans.ingest import harmonise, harmonise_unified
+from varlex.plans.landed import Landing
+from varlex.plans.landed import ingest_landed as ingest_files
 from varlex.plans.registered import roles as R
 from varlex.session import fresh_path
-from varlex.sources import bucket_store, files, landing, sinks, stores
+from varlex.sources import bucket_store, dictionaries, files, landing, sinks, stores
 from varlex.specs import HASH_SPECS
 
 
@@ -77,6 +79,54 @@ def scan_json_or_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan_json_or_csv(spark, [f"{path}/json", f"{path}/csv"], "value", names).drop(ORD)
 
 
+def scan_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder of CSV files with two orders of columns, a TSV file and JSON pages, settled file by file."""
+    path = fresh_path(spark, "dictionary")
+    raw = R.labelled(spark, sf_dir).select(R.text("doc_id").alias("doc_id"), "text", R.text("quality").alias("quality"))
+    kind = F.col("doc_id").cast("long") % 4
+    quoted = dict(
+        header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, quoteAll=True
+    )
+    raw.where(kind == 0).write.options(**quoted).csv(f"{path}/a")
+    raw.where(kind == 1).select("quality", "text", F.lit("more").alias("other"), "doc_id").write.options(**quoted).csv(f"{path}/b")
+    raw.where(kind == 2).write.options(**quoted, sep="\t").csv(f"{path}/c")
+    pages = raw.where(kind == 3).withColumn(ORD, F.col("doc_id").cast("long"))
+    _pages(pages, ORD, "Data", ["doc_id", "text", "quality"]).withColumnRenamed("value", "payload").write.partitionBy(
+        "page").text(f"{path}/d")
+    return dictionaries.scan_dictionary(spark, path, ["doc_id", "text", "quality"], key="Data").drop(ORD)
+
+
+def ingest_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed files to a store and its report: a second place, renamed columns, a seeded and a failing registry."""
+    landed, store, report = (fresh_path(spark, n) for n in ("landed", "store", "report"))
+    quoted = dict(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    R.allofus_hash_raw(spark, sf_dir).drop(ORD).write.options(**quoted).csv(f"{landed}/parts")
+    R.table(spark, sf_dir, "region").select(F.lit("x").alias("itemid")).write.options(header=True).csv(f"{landed}/short")
+    suppliers = R.table(spark, sf_dir, "supplier").select(
+        F.lit("General").alias("category"), R.text("s_suppkey").alias("itemid"), F.col("s_name").alias("label"), R.text("s_nationkey").alias("fluid")
+    )
+    suppliers.unionByName(suppliers).write.options(**quoted).csv(f"{landed}/items")
+    documents = R.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias(ORD), F.sha2("text", 256).alias("IndicatorCode"), F.col("text").alias("IndicatorName")
+    )
+    _pages(documents, ORD, "value", ["IndicatorCode", "IndicatorName"]).withColumnRenamed("value", "payload").write.partitionBy(
+        "page").text(f"{landed}/texts")
+    places = {
+        "nih_allofus": Landing((f"{landed}/parts",), "csv"),
+        "mimic_iv": Landing((f"{landed}/absent", f"{landed}/short", f"{landed}/items"), "csv", min_chars=fixed.MIN_PAYLOAD_CHARS),
+        "who": Landing((f"{landed}/texts",), key="value"),
+        "nhanes": Landing((f"{landed}/absent",)),
+    }
+    told = ingest_files(spark, places, HASH_SPECS, store, report, "first", [*places, "usaid"], buckets=8)
+    stored = bucket_store.read_store(spark, store).groupBy("source").agg(
+        F.count("*").alias("n_stored"), F.sum(F.length("document")).alias("chars")
+    )
+    names = spark.createDataFrame([(k, HASH_SPECS[k].source) for k in [*places, "usaid"]], "source_key string, source string")
+    return told.join(names, "source_key").join(stored, "source", "left").select(
+        "source_key", "status", "n_landed", "n_bad", "n_rows", "n_stored", "chars"
+    )
+
+
 def with_seed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents landed for some sources; nations stand in for the others."""
     landed = R.table(spark, sf_dir, "documents").select("source", "text")
@@ -223,6 +273,8 @@ QUERIES = {
     "scan_tsv": scan_tsv,
     "scan_ragged_text": scan_ragged_text,
     "scan_json_or_csv": scan_json_or_csv,
+    "scan_dictionary": scan_dictionary,
+    "ingest_landed": ingest_landed,
     "with_seed_fallback": with_seed_fallback,
     "first_reachable": first_reachable,
     "scan_processed": scan_processed,
@@ -301,4 +353,19 @@ SQL = {
         SELECT IndicatorId, Label, ShortName, Definition FROM usaid_raw""",
 }
 
+SQL["scan_dictionary"] = SQL["scan_csv"]
 SQL["bucket_upsert"] = SQL["upsert_by_id"]
+
+_SEEDS = [HASH_SPECS["nhanes"].document.format(**row) for row in HASH_SPECS["nhanes"].seed]
+SQL["ingest_landed"] = f"""
+    WITH parts AS (SELECT count(*) AS n, CAST(sum(len('Source: NIH All of Us | Concept ID: ' || p_partkey || ' | Name: ' || p_name
+            || ' | Domain: ' || p_brand || ' | Vocabulary: ' || p_type)) AS BIGINT) AS chars FROM part),
+    items AS (SELECT count(*) AS n, CAST(sum(len('Source: MIMIC-IV | ItemID: ' || s_suppkey || ' | Label: ' || s_name
+            || ' | Fluid: ' || s_nationkey || ' | Category: General')) AS BIGINT) AS chars FROM supplier),
+    texts AS (SELECT count(*) AS n, CAST(sum(len('Source: WHO GHO | Indicator Code: ' || sha256(text) || ' | Name: ' || text)) AS BIGINT) AS chars
+        FROM (SELECT DISTINCT text FROM documents))
+    SELECT 'nih_allofus' AS source_key, 'ok' AS status, n AS n_landed, CAST(0 AS BIGINT) AS n_bad, n AS n_rows, n AS n_stored, chars FROM parts
+    UNION ALL SELECT 'mimic_iv', 'ok', 2 * n, 0, n, n, chars FROM items
+    UNION ALL SELECT 'who', 'ok', (SELECT count(*) FROM documents), 0, n, n, chars FROM texts
+    UNION ALL SELECT 'nhanes', 'seeded', 0, 0, {len(_SEEDS)}, {len(_SEEDS)}, {sum(map(len, _SEEDS))}
+    UNION ALL SELECT 'usaid', 'failed', 0, 0, 0, NULL, NULL"""

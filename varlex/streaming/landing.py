@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from varlex.operators.embed import EncoderFactory
 from varlex.operators.ordering import ORD
+from varlex.operators.row_ledger import RowLedger
 from varlex.plans.ingest import embed_corpus, harmonise_registry
 from varlex.specs import RegistrySpec
 
@@ -44,12 +45,19 @@ def upsert_stream(
     """Upsert every micro-batch into the store.
 
     A whole-row replace by id is idempotent, so a batch that is retried after a
-    lost executor leaves the same store.  No streaming state is kept.
+    lost executor leaves the same store.  Where ids may be row numbers, these go
+    on from batch to batch by a ledger beside the checkpoint, and a retried
+    batch gets the numbers it had.
     """
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        rows = harmonise_registry(prepare(batch_order(batch)), spec)
-        embed_corpus(batch.sparkSession, rows, store, encoder, sources=[spec.source])
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows, first = prepare(batch_order(batch)), 0
+        if spec.needs_row_index:
+            ledger = RowLedger(batch.sparkSession, f"{checkpoint}-rows")
+            first = ledger.rows_before(batch_id)
+            ledger.commit(batch_id, rows.count())
+        harmonised = harmonise_registry(rows, spec, first)
+        embed_corpus(batch.sparkSession, harmonised, store, encoder, sources=[spec.source])
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
