@@ -19,7 +19,9 @@ from varlex.llm.piece_ids import SPACE, byte_pieces, model_pieces
 # Token ends of both sides that one merge-path piece holds.
 WORK = 1 << 16
 # Tokens of side A that a chunk of documents holds at least, where there are so many.
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 18
+# What a worker keeps of each side's pieces; two workers share an executor with the other arrays.
+CACHE_BYTES = 160_000_000
 # Links of one group that are written out; those of larger groups are counted by ids.
 GROUP_LINKS = 4096
 
@@ -156,6 +158,8 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = byte_pieces(path_a, special=False), model_pieces(path_b)
+        for side in (self.a, self.b):
+            side.known.limit = CACHE_BYTES
         self.bits = len(self.a.lengths).bit_length(), len(self.b.lengths).bit_length()
         self.names = Names(len(self.a.lengths), len(self.b.lengths))
 
