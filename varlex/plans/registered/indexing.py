@@ -102,7 +102,9 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest documents of every benchmark text, reranked by BM25."""
-    ranked = postings.bm25_rerank(spark, _candidates(spark, sf_dir), _postings(spark, sf_dir), buckets=8)
+    staged = fresh_path(spark, "candidates")
+    _candidates(spark, sf_dir).select("query_id", "query", "id", "vector_rank").write.parquet(staged)
+    ranked = postings.bm25_rerank(spark, spark.read.parquet(staged), _postings(spark, sf_dir), buckets=8)
     return _ranks(ranked).select("query_id", "id", "vector_rank", "rerank_score", "final_rank")
 
 
