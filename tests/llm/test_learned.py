@@ -1,10 +1,12 @@
 """Toxicity and language models: held-out accuracy, normalisation and odd rows."""
 
+import math
 import random
 from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import SCHEMA, no_docs, odd_docs, odd_rows, sentence
 from varlex.llm import language_id, toxicity
@@ -127,7 +129,9 @@ def test_languages_of_held_out_rows(spark):
 
 def test_probabilities_sum_to_one_and_equal_a_plain_model(spark):
     rows = [r for r in language_rows(5, 40) if r[2] == "en"]
-    model = language_id.train(spark.createDataFrame(rows, SCHEMA))["en"]
+    other = [r for r in language_rows(5, 40) if r[2] == "fr"]
+    models = language_id.train(language_id.word_counts(spark.createDataFrame(rows + other, SCHEMA)))
+    assert models.languages == ["en", "fr"]
     words = [w for r in rows for w in r[1].split()]
     counts = {}
     for w in words:
@@ -154,10 +158,44 @@ def test_probabilities_sum_to_one_and_equal_a_plain_model(spark):
 
     alphabet = sorted({g for g in orders[1]})
     some = ["^^^t", "^^th", "thin", "nth$", "zzzz", "azth", *("".join(p) for p in list(product(alphabet, repeat=4))[::97])]
-    codes = np.array([[ord(c) for c in g] for g in some], np.uint32)
-    assert model.probability(codes) == pytest.approx([plain(g) for g in some], rel=1e-4)
-    every = np.array([[*map(ord, "^th"), ord(c)] for c in alphabet], np.uint32)
-    assert 0.95 < model.probability(every).sum() <= 1.0001
+    # Two places are left for characters that were never met: with them each context's sum is one.
+    contexts = ("^^^", "^th", "zzz", "n$$", "ane")
+    every = [h + c for h in contexts for c in [*alphabet, "0"]]
+    found = models.probabilities(spark.createDataFrame([(g,) for g in some + every], "gram string"))
+    p = {r["gram"]: r["p"][0] for r in found.collect()}
+    assert [p[g] for g in some] == pytest.approx([plain(g) for g in some], rel=1e-9)
+    for h in contexts:
+        assert sum(p[h + c] for c in alphabet) + 2 * p[h + "0"] == pytest.approx(1, rel=1e-9)
+    word = {r["key"]: r for r in models.words(spark.createDataFrame([("thin",), ("zz" * 3000,)], "word string")).collect()}
+    framed = "^^^thin$"
+    expected = sum(math.log(plain(framed[k : k + 4])) for k in range(5))
+    assert sorted(r["chars"] for r in word.values()) == [5, 6001]
+    assert next(r for r in word.values() if r["chars"] == 5)["sums"][0] == pytest.approx(expected, rel=1e-9)
+    models.close()
+
+
+def test_words_scored_by_joins_and_by_the_frequent_table_agree(spark, monkeypatch):
+    train, test = language_rows(1, 120), language_rows(2, 60)
+    test.append((999, "thin " * 3 + "zz" * 2000 + " 漢字", None, *[None] * 5))
+    docs, known = spark.createDataFrame(test + odd_rows(), SCHEMA), spark.createDataFrame(train, SCHEMA)
+    found = []
+    for cells in (0, 60, language_id.FREQUENT_CELLS):
+        monkeypatch.setattr(language_id, "FREQUENT_CELLS", cells)
+        rows = language_id.identify(docs, known).collect()
+        found.append(sorted([(str(r["doc_id"]), r["lang_pred"], r["rejected"], r["score"], r["entropy"] or 0) for r in rows]))
+    for other in found[1:]:
+        assert [r[:3] for r in other] == [r[:3] for r in found[0]]
+        assert [x for r in other for x in r[3:]] == pytest.approx([x for r in found[0] for x in r[3:]], abs=1e-4)
+
+
+def test_learning_from_marked_rows_of_the_same_table(spark):
+    train, test = language_rows(1, 120), language_rows(2, 60)
+    test = [(r[0] + 1000, *r[1:]) for r in test]
+    both = spark.createDataFrame(train + test + odd_rows(), SCHEMA)
+    marked = language_id.identify(both, learn=F.col("doc_id") < 100).collect()
+    assert len(marked) == len(train) + len(test) + len(odd_rows())
+    by_id = {r["doc_id"]: r["lang_pred"] for r in marked}
+    assert all(by_id[r[0]] == r[2] for r in test)
 
 
 def test_nothing_to_learn_from(spark):

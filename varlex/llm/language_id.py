@@ -6,38 +6,36 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.llm.common import chunked_matches, crc_mod, documents, durable, inputs
+from varlex.llm.common import chunked_matches, crc_mod, documents, durable, inputs, prepared
+from varlex.session import discard, fresh_path
 
 FOLDS, HELD_OUT = 4, 2
 ORDER = 4
-# Size bound of the model that is sent to every task: n-grams of one order and language, and of all.
-MAX_GRAMS = 100_000
-MAX_TOTAL = 4_000_000
-MAX_LANGUAGES = 400
-# Training documents of each language that the rejection bounds are taken from, at most; longer ones aren't among them.
-CALIBRATION_ROWS = 1_000
-CALIBRATION_CHARS = 30_000
+# Numbers (words times languages) that are sent to every task as scores of frequent words, and their longest word;
+# all other words are scored by joins, with the same result.
+FREQUENT_CELLS = 2_000_000
+FREQUENT_CHARS = 64
 # A document is rejected if its cross-entropy is so many standard deviations above its language's mean.
 REJECT_AT = 4.0
+LEAST_DEVIATION = 0.02
 # Nats per character that make one language e times as likely as another.
 TEMPERATURE = 0.1
 WORD = re.compile(r"[^\W\d_]+")
 START, END = "^", "$"
 UNKNOWN = "und"
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-# Words kept with their scores by each Python worker.
-WORDS_KEPT = 300_000
+# Words or characters that are cut into n-grams at a time.
+CUT_WORDS, CUT_CHARS = 50_000, 2 << 20
 
 
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of the highest order (one row of code points each) and how many each word has.
+    """All n-grams of the highest order as strings, and how many each word has.
 
     A word is framed by start marks and one end mark; it has one n-gram for
     each of its characters and one for its end.
@@ -48,130 +46,93 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum(lengths + ORDER - 1) - (lengths + ORDER - 1)
     first = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    return np.lib.stride_tricks.sliding_window_view(codes, ORDER)[first] if len(codes) else np.empty((0, ORDER), np.uint32), lengths
+    rows = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[first]
+    return np.ascontiguousarray(rows).view(f"<U{ORDER}")[:, 0], lengths
 
 
-def hashed(grams: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of code points; the width is part of it."""
-    found = np.full(len(grams), grams.shape[1], np.uint64)
-    for k in range(grams.shape[1]):
-        found = (found ^ grams[:, k]) * MULTIPLIER
-        found ^= found >> np.uint64(31)
-    return found
+def _gathered(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[list]]:
+    """The columns of several batches together, the first being words, about as many as are cut at a time."""
+    held: list[list] = [[] for _ in columns]
+    chars = 0
+    for batch in batches:
+        for into, name in zip(held, columns):
+            into.extend(batch.column(name).to_pylist())
+        chars += sum(map(len, held[0][-batch.num_rows :])) if batch.num_rows else 0
+        if len(held[0]) > CUT_WORDS or chars > CUT_CHARS:
+            yield held
+            held, chars = [[] for _ in columns], 0
+    if held[0]:
+        yield held
 
 
-@dataclass
-class Table:
-    """Values by hash, sorted."""
-
-    keys: np.ndarray
-    values: np.ndarray
-
-    @staticmethod
-    def of(keys: np.ndarray, values: np.ndarray) -> Table:
-        order = np.argsort(keys)
-        return Table(keys[order], values[order].astype(np.float32))
-
-    def get(self, keys: np.ndarray, missing: np.ndarray | float) -> np.ndarray:
-        if not len(self.keys):
-            return np.broadcast_to(missing, keys.shape)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], missing)
-
-
-@dataclass
-class LanguageModel:
-    """Interpolated probabilities of the kept n-grams and back-off weights of their contexts, by order."""
-
-    grams: list[Table]
-    contexts: list[Table]
-    unseen: float
-
-    def probability(self, grams: np.ndarray) -> np.ndarray:
-        """P(last character | those before) of each row."""
-        p = np.full(len(grams), self.unseen)
-        for order in range(1, ORDER + 1):
-            tail = grams[:, ORDER - order :]
-            weight = self.contexts[order - 1].get(hashed(tail[:, :-1]), 1.0)
-            p = self.grams[order - 1].get(hashed(tail), weight * p)
-        return p
-
-
-def build(rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], discounts: dict[int, float]) -> LanguageModel:
-    """One language's model from (n-grams, counts, context totals, context types) of each order.
-
-    P(c | h) = max(n - D, 0) / total + D * types / total * P(c | shorter h);
-    counts below the highest order are numbers of different characters in front.
-    """
-    size = len(rows[1][0]) if 1 in rows else 0
-    model = LanguageModel([], [], 1.0 / (size + 2))
-    for order in range(1, ORDER + 1):
-        grams, n, total, types = rows[order]
-        discount = discounts[order]
-        weight = discount * types / total
-        lower = model.grams[order - 2].get(hashed(grams[:, 1:]), model.unseen) if order > 1 else model.unseen
-        p = np.maximum(n - discount, 0) / total + weight * lower
-        contexts, at = np.unique(hashed(grams[:, :-1]), return_index=True)
-        model.grams.append(Table.of(hashed(grams), p))
-        model.contexts.append(Table.of(contexts, weight[at]))
-    return model
-
-
-def _gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): n-grams of the highest order of all training texts, added up within each task first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, n): lower-cased words of all texts, added up within each task first."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        words: dict[str, Counter] = {}
-
-        def count() -> None:
-            for lang, found in words.items():
-                grams, lengths = windows(list(found))
-                times = np.repeat(np.fromiter(found.values(), np.int64, len(found)), lengths)
-                names = np.ascontiguousarray(grams).view(f"<U{ORDER}")[:, 0]
-                different, where = np.unique(names, return_inverse=True)
-                totals = np.bincount(where, times, len(different)).astype(np.int64)
-                into = held.setdefault(lang, Counter())
-                for gram, n in zip(different.tolist(), totals.tolist()):
-                    into[gram] += n
-            words.clear()
+        chars = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in held.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())],
-                    ["lang", "gram", "n"],
+                    [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()),
+                     pa.array(list(found.values()), pa.int64())],
+                    ["lang", "word", "n"],
                 )
             held.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                into = words.setdefault(lang, Counter())
+                into = held.setdefault(lang, Counter())
+                chars += len(text)
                 for found in chunked_matches(WORD, text.lower()):
                     into.update(found)
-            if sum(map(len, words.values())) > 100_000:
-                count()
-            if sum(map(len, held.values())) > 500_000:
+            if sum(map(len, held.values())) > 300_000 or chars > 256 << 20:
                 yield from flush()
-        count()
+                chars = 0
         yield from flush()
 
-    counted = docs.select("lang", "text").mapInArrow(scan, "lang string, gram string, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = docs.select("lang", "text").mapInArrow(scan, "lang string, word string, n long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def gram_tables(docs: DataFrame) -> DataFrame:
-    """(lang, size, gram, n, total, types) of every order, from all training texts."""
-    highest = durable(_gram_counts(docs))
-    orders = [highest]
+def _gram_counts(words: DataFrame) -> DataFrame:
+    """(lang, gram, n): n-grams of the highest order of counted words."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, langs, times in _gathered(batches, ("word", "lang", "n")):
+            grams, lengths = windows(words)
+            names, codes = np.unique(np.array(langs, object), return_inverse=True)
+            different, where = np.unique(grams, return_inverse=True)
+            pairs, at = np.unique(np.repeat(codes, lengths) * np.int64(len(different)) + where, return_inverse=True)
+            totals = np.zeros(len(pairs), np.int64)
+            np.add.at(totals, at, np.repeat(np.array(times, np.int64), lengths))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[pairs // len(different)].tolist(), pa.string()),
+                 pa.array(different[pairs % len(different)].tolist(), pa.string()), pa.array(totals)],
+                ["lang", "gram", "n"],
+            )
+
+    return (
+        words.select("word", "lang", "n").mapInArrow(cut, "lang string, gram string, n long")
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    )
+
+
+def gram_tables(words: DataFrame) -> DataFrame:
+    """(lang, size, gram, n, total, types) of every order, from counted training words.
+
+    Counts below the highest order are numbers of different characters in
+    front; ``total`` and ``types`` belong to the context, of which no more
+    n-grams than the alphabet has letters share one.
+    """
+    orders = [durable(_gram_counts(words))]
     for order in range(ORDER - 1, 0, -1):
-        # Different characters in front of each shorter n-gram.
         shorter = F.expr(f"substring(gram, 2, {order})").alias("gram")
         orders.append(orders[-1].select("lang", shorter).groupBy("lang", "gram").agg(F.count("*").alias("n")))
     found = None
     for size, counts in zip(range(ORDER, 0, -1), orders):
-        context = F.expr(f"substring(gram, 1, {size - 1})")
-        rows = counts.withColumn("context", context)
+        rows = counts.withColumn("context", F.expr(f"substring(gram, 1, {size - 1})"))
         sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
         joined = rows.join(sums, ["lang", "context"]).select(
             "lang", F.lit(size).alias("size"), "gram", "n", "total", "types"
@@ -180,199 +141,314 @@ def gram_tables(docs: DataFrame) -> DataFrame:
     return durable(found)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, LanguageModel]:
-    """One model for each language; rows without a language or text are left out.
+def _key(gram) -> Column:
+    return F.xxhash64(gram)
 
-    Counts cover all rows.  Of each language and order the model keeps the
-    n-grams above a count, the least power of two that leaves at most
-    ``MAX_GRAMS`` (and ``MAX_TOTAL`` of all); those only reach the driver.
+
+@dataclass
+class Models:
+    """One interpolated model for each language, as a table in the shared folder.
+
+    ``path`` holds, by ``size`` and kind, rows (key, values): the hash of an
+    n-gram with its probabilities, or of a context with its back-off weights,
+    by the language's place in ``languages``.  The files are sorted by hash,
+    of any size, and go with ``close``.  ``unseen`` is what each language
+    gives a character that it never met, before any weight.
     """
-    rows = inputs(docs, text=text, lang=lang).where("text is not null and lang is not null")
-    tables = gram_tables(rows)
-    level = F.length(F.bin("n"))
-    levels = (
-        tables.groupBy("lang", "size", level.alias("level"))
-        .agg(F.count("*").alias("grams"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"),
-             F.sum(F.when(F.col("n") == 2, 1).otherwise(0)).alias("twice"))
-        .collect()
-    )
-    languages = sorted({r["lang"] for r in levels})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; models are sent to every task for at most {MAX_LANGUAGES}")
-    most = min(MAX_GRAMS, MAX_TOTAL // max(1, ORDER * len(languages)))
-    discounts: dict[str, dict[int, float]] = {name: {} for name in languages}
-    kept = []
-    for name in languages:
-        for size in range(1, ORDER + 1):
-            own = sorted((r for r in levels if r["lang"] == name and r["size"] == size), key=lambda r: -r["level"])
-            once, twice = sum(r["once"] for r in own), sum(r["twice"] for r in own)
-            discounts[name][size] = once / (once + 2 * twice) if once and twice else 0.75
-            taken, least = 0, own[0]["level"]
-            for r in own:
-                if taken + r["grams"] > most:
-                    break
-                taken, least = taken + r["grams"], r["level"]
-            kept.append((name, size, least))
-    if not kept:
-        return {}
-    cuts = tables.sparkSession.createDataFrame(kept, "lang string, size int, least int")
-    chosen = tables.join(F.broadcast(cuts), ["lang", "size"]).where(level >= F.col("least")).drop("least").toArrow()
-    names, sizes = chosen.column("lang").to_pylist(), chosen.column("size").to_numpy()
-    names = np.array(names, object)
-    grams = np.array(chosen.column("gram").to_pylist(), object)
-    numbers = [chosen.column(c).to_numpy().astype(np.float64) for c in ("n", "total", "types")]
-    models = {}
-    for name in languages:
-        by_order = {}
-        for size in range(1, ORDER + 1):
-            own = np.flatnonzero((names == name) & (sizes == size))
-            codes = np.frombuffer("".join(grams[own]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size)
-            by_order[size] = (codes, *(x[own] for x in numbers))
-        models[name] = build(by_order, discounts[name])
-    return models
-
-
-class Scorer:
-    """Cross-entropies of texts by language, with the words met so far."""
-
-    def __init__(self, models: dict[str, LanguageModel]):
-        self.languages = list(models)
-        self.models = list(models.values())
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.rows: np.ndarray = np.empty((0, len(self.models) + 1), np.float32)
-
-    def learn(self, words: Iterable[str]) -> None:
-        wanted = set(words)
-        new = [w for w in wanted if w not in self.places]
-        if len(self.places) + len(new) > WORDS_KEPT:
-            self._clear()
-            new = list(wanted)
-        if not new:
-            return
-        grams, lengths = windows(new)
-        keys = hashed(grams)
-        _, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        different = np.ascontiguousarray(grams[first])
-        logs = np.stack([np.log(m.probability(different)) for m in self.models], axis=1)
-        starts = np.cumsum(lengths) - lengths
-        rows = np.add.reduceat(logs[where], starts, axis=0)
-        at = len(self.rows)
-        self.rows = np.concatenate((self.rows, np.column_stack((rows, lengths)).astype(np.float32)))
-        self.places.update(zip(new, range(at, at + len(new))))
-
-    def entropies(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
-        """Nats per character in every language; None for a text without letters."""
-        lowered = [t.lower() if t else "" for t in texts]
-        short = [WORD.findall(t) if len(t) <= 1 << 20 else None for t in lowered]
-        self.learn(chain.from_iterable(s for s in short if s))
-        sums = [self._sum(s) if s else None for s in short]
-        for k, text in enumerate(lowered):
-            if short[k] is None:
-                for words in chunked_matches(WORD, text):
-                    if words:
-                        self.learn(words)
-                        part = self._sum(words)
-                        sums[k] = part if sums[k] is None else sums[k] + part
-        for total in sums:
-            yield None if total is None else -total[:-1] / total[-1]
-
-    def _sum(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        return self.rows[at].sum(axis=0, dtype=np.float64)
-
-
-def entropies(docs: DataFrame, models: dict[str, LanguageModel]) -> DataFrame:
-    """All of ``id``, with the best language, its cross-entropy and its share among all languages."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            best, least, share = [], [], []
-            for found in scorer.entropies(batch.column("text").to_pylist()):
-                if found is None:
-                    best.append(None)
-                    least.append(None)
-                    share.append(None)
-                    continue
-                k = int(found.argmin())
-                odds = np.exp(-(found - found[k]) / TEMPERATURE)
-                best.append(scorer.languages[k])
-                least.append(float(found[k]))
-                share.append(float(1 / odds.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(best, pa.string()), pa.array(least, pa.float64()), pa.array(share, pa.float64())],
-                ["id", "lang_pred", "entropy", "share"],
+    spark: SparkSession
+    path: str
+    languages: list[str]
+    unseen: list[float]
+
+    def _stored(self, size: int, kind: str, key: str, values: str) -> DataFrame:
+        rows = self.spark.read.parquet(self.path).where((F.col("size") == size) & (F.col("kind") == kind))
+        return rows.select(F.col("key").alias(key), F.col("values").alias(values))
+
+    def probabilities(self, grams: DataFrame) -> DataFrame:
+        """(gram, p) for every different ``gram`` of the highest order: P(last character | those before) by language.
+
+        Each order's n-grams meet the stored hashes, their contexts' and the
+        next lower order's results once; every join key is shared by no more
+        rows than the alphabet has letters.
+        """
+        wanted = {ORDER: grams.select("gram").distinct()}
+        for size in range(ORDER - 1, 0, -1):
+            wanted[size] = wanted[size + 1].select(F.expr("substring(gram, 2)").alias("gram")).distinct()
+        lower = None
+        for size in range(1, ORDER + 1):
+            rows = wanted[size].select(
+                "gram", _key("gram").alias("_own"), _key(F.expr(f"substring(gram, 1, {size - 1})")).alias("_context")
             )
+            rows = rows.join(self._stored(size, "p", "_own", "_p"), "_own", "left")
+            rows = rows.join(self._stored(size, "weight", "_context", "_w"), "_context", "left")
+            if lower is None:
+                rows = rows.withColumn("_low", F.array(*[F.lit(x) for x in self.unseen]))
+            else:
+                below = lower.select(F.col("gram").alias("_suffix"), F.col("p").alias("_low"))
+                rows = rows.withColumn("_suffix", F.expr("substring(gram, 2)")).join(below, "_suffix")
+            lower = rows.select("gram", F.expr(
+                "transform(_low, (x, i) -> coalesce(_p[i], coalesce(_w[i], 1D) * x))"
+            ).alias("p"))
+        return lower
+
+    def words(self, words: DataFrame) -> DataFrame:
+        """(key, sums, chars) for every different ``word``: logarithms of its probability by language, and its length.
+
+        ``key`` is the word's 64-bit hash.  Very long words are whole, as
+        their different n-grams with counts.
+        """
+
+        def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for found, keys in _gathered(batches, ("word", "key")):
+                grams, lengths = windows(found)
+                different, where = np.unique(grams, return_inverse=True)
+                owner = np.repeat(np.arange(len(found)), lengths)
+                pairs, n = np.unique(owner * np.int64(len(different)) + where, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(keys, np.int64)[pairs // len(different)]),
+                     pa.array(different[pairs % len(different)].tolist(), pa.string()), pa.array(n.astype(np.int64))],
+                    ["key", "gram", "n"],
+                )
+
+        path = fresh_path(self.spark, "language-grams")
+        different = words.select("word").distinct().select("word", _key("word").alias("key"))
+        different.mapInArrow(cut, "key long, gram string, n long").write.parquet(path)
+        grams = self.spark.read.parquet(path)
+        logs = self.probabilities(grams).select("gram", F.expr("transform(p, x -> ln(x))").alias("logs"))
+        sums = [F.sum(F.col("n") * F.col("logs")[k]) for k in range(len(self.languages))]
+        found = durable(grams.join(logs, "gram").groupBy("key").agg(F.array(*sums).alias("sums"), F.sum("n").alias("chars")))
+        discard(self.spark, path)
+        return found
 
-    rows = docs.select(F.col("id").cast("long").alias("id"), "text")
-    return rows.mapInArrow(scan, "id long, lang_pred string, entropy double, share double")
+    def close(self) -> None:
+        discard(self.spark, self.path)
+
+
+def train(words: DataFrame) -> Models | None:
+    """Models of all languages from counted words (lang, word, n); None without any.
+
+    P(c | h) = max(n - D, 0) / total + D * types / total * P(c | shorter h),
+    with one discount D for each language and order.  Every n-gram of every
+    language is kept; only discounts and the languages' names reach the driver.
+    """
+    spark = prepared(words.sparkSession)
+    tables = gram_tables(words)
+    found = tables.groupBy("lang", "size").agg(
+        F.count("*").alias("grams"),
+        F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"),
+        F.sum(F.when(F.col("n") == 2, 1).otherwise(0)).alias("twice"),
+    ).collect()
+    if not found:
+        return None
+    languages = sorted({r["lang"] for r in found})
+    place = {name: k for k, name in enumerate(languages)}
+    discounts = [
+        (r["lang"], r["size"], place[r["lang"]], r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] and r["twice"] else 0.75)
+        for r in found
+    ]
+    unseen = [0.0] * len(languages)
+    for r in found:
+        if r["size"] == 1:
+            unseen[place[r["lang"]]] = 1.0 / (r["grams"] + 2)
+    fixed = spark.createDataFrame(discounts, "lang string, size int, place int, discount double")
+    rows = (
+        tables.join(F.broadcast(fixed), ["lang", "size"])
+        .withColumn("weight", F.expr("discount * types / total"))
+        .withColumn("own", F.expr("greatest(n - discount, 0D) / total"))
+    )
+    stored, lower = None, None
+    for size in range(1, ORDER + 1):
+        level = rows.where(F.col("size") == size)
+        if lower is None:
+            known = F.array(*[F.lit(x) for x in unseen])
+            level = level.withColumn("low", known[F.col("place")])
+        else:
+            level = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(
+                lower.select("place", F.col("gram").alias("suffix"), F.col("value").alias("low")), ["place", "suffix"]
+            )
+        p = level.select("place", "gram", F.expr("own + weight * low").alias("value"))
+        weights = level.select("place", F.expr(f"substring(gram, 1, {size - 1})").alias("gram"), F.col("weight").alias("value")).distinct()
+        for kind, values in (("p", p), ("weight", weights)):
+            part = values.select(F.lit(size).alias("size"), F.lit(kind).alias("kind"), "gram", "place", "value")
+            stored = part if stored is None else stored.unionByName(part)
+        lower = p
+    path = fresh_path(spark, "language-models")
+    entries = F.map_from_entries(F.collect_list(F.struct("place", "value")))
+    (
+        stored.groupBy("size", "kind", "gram").agg(entries.alias("values"))
+        .select("size", "kind", _key("gram").alias("key"), "values")
+        .repartition("key").sortWithinPartitions("size", "kind", "key")
+        .write.partitionBy("size", "kind").parquet(path)
+    )
+    return Models(spark, path, languages, unseen)
 
 
-def rejection_bounds(docs: DataFrame, models: dict[str, LanguageModel]) -> dict[str, tuple[float, float]]:
-    """Mean and deviation of the cross-entropy of each language's own training documents, by a bounded sample.
+def _frequent(words: DataFrame, models: Models) -> tuple[list[str], np.ndarray]:
+    """The most frequent training words that the bound has room for, and their (log sums by language, length).
 
-    Of each language the ``CALIBRATION_ROWS`` texts with the smallest hashes.
+    Whole powers of two of their counts, so that nothing is sorted.
     """
-    rows = docs.where(F.length("text") <= CALIBRATION_CHARS).withColumn("h", F.xxhash64("text"))
-    first = F.expr("row_number() over (partition by lang order by h)")
-    hashes = rows.select("lang", "h").distinct().withColumn("k", first).where(F.col("k") <= CALIBRATION_ROWS)
-    # At most CALIBRATION_ROWS hashes for each language.
-    sample = rows.join(F.broadcast(durable(hashes.drop("k"))), ["lang", "h"])
-    rated = entropies(sample.select(F.lit(0).alias("id"), "text"), models)
-    found = rated.where("lang_pred is not null").groupBy("lang_pred").agg(
-        F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("deviation")
+    rows = words.where(F.length("word") <= FREQUENT_CHARS).groupBy("word").agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("level", F.length(F.bin("n")))
+    room, least = FREQUENT_CELLS // (len(models.languages) + 1), None
+    for r in sorted(rows.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    if least is None:
+        return [], np.empty((0, len(models.languages) + 1), np.float32)
+    chosen = rows.where(F.col("level") >= least).select("word", _key("word").alias("key"))
+    found = chosen.join(models.words(chosen), "key").select("word", "sums", "chars").toArrow()
+    sums = found.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, len(models.languages))
+    return found.column("word").to_pylist(), np.column_stack((sums, found.column("chars").to_numpy())).astype(np.float32)
+
+
+def entropies(docs: DataFrame, words: DataFrame, models: Models) -> DataFrame:
+    """All columns but ``text``, with the best language, its cross-entropy and its share; nulls without letters.
+
+    ``row`` is an address of its own for each row.  Frequent words are added up where the texts are read; the others leave as
+    (row, word, count), are scored once each and come back by an equi-join.
+    """
+    spark = docs.sparkSession
+    frequent = _frequent(words, models)
+    shared = spark.sparkContext.broadcast(frequent)
+    languages = models.languages
+    carried = [c for c in docs.columns if c != "text"]
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, scores = shared.value
+        places = dict(zip(known, range(len(known))))
+        for batch in batches:
+            rows, sums, chars = batch.column("row").to_pylist(), [], []
+            other: list[tuple[int, str, int]] = []
+            for row, text in zip(rows, batch.column("text").to_pylist()):
+                total = np.zeros(scores.shape[1])
+                rare: Counter = Counter()
+                for found in chunked_matches(WORD, text.lower()) if text else ():
+                    at = np.fromiter(map(places.get, found, repeat(-1)), np.int64, len(found))
+                    seen = at >= 0
+                    total += scores[at[seen]].sum(axis=0, dtype=np.float64)
+                    rare.update([found[k] for k in np.flatnonzero(~seen)])
+                sums.append(total[:-1].tolist())
+                chars.append(int(total[-1]))
+                other += [(row, word, n) for word, n in rare.items()]
+            base = [batch.column(c) for c in carried]
+            size = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [*base, pa.array(sums, pa.list_(pa.float64())), pa.array(chars, pa.int64()),
+                 pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())],
+                [*carried, "sums", "chars", "word", "n"],
+            )
+            for k in range(0, len(other), CUT_WORDS):
+                row, word, n = zip(*other[k : k + CUT_WORDS])
+                size = len(row)
+                base = [pa.array(row, pa.int64()) if c == "row" else pa.nulls(size, batch.column(c).type) for c in carried]
+                yield pa.RecordBatch.from_arrays(
+                    [*base, pa.nulls(size, pa.list_(pa.float64())), pa.nulls(size, pa.int64()),
+                     pa.array(word, pa.string()), pa.array(n, pa.int64())],
+                    [*carried, "sums", "chars", "word", "n"],
+                )
+
+    path = fresh_path(spark, "language-scan")
+    docs.mapInArrow(scan, f"{fields}, sums array<double>, chars long, word string, n long").write.parquet(path)
+    scanned = spark.read.parquet(path)
+    rare = scanned.where("word is not null").select("row", "word", "n", _key("word").alias("key"))
+    added = [F.sum(F.col("n") * F.col("sums")[k]) for k in range(len(languages))]
+    more = (
+        rare.select("row", "n", "key").join(models.words(rare), "key").groupBy("row")
+        .agg(F.array(*added).alias("more"), F.sum(F.col("n") * F.col("chars")).alias("longer"))
     )
-    return {r["lang_pred"]: (r["mean"], max(r["deviation"], 0.02)) for r in found.collect()}
+    whole = scanned.where("word is null").drop("word", "n").join(more, "row", "left")
+    rated = (
+        whole.withColumn("length", F.expr("chars + coalesce(longer, 0L)"))
+        .withColumn("all", F.expr("transform(sums, (x, i) -> round(-(x + coalesce(more[i], 0D)) / nullif(length, 0L), 9))"))
+        .withColumn("least", F.array_min("all"))
+        .withColumn("odds", F.expr(f"aggregate(transform(all, x -> exp(-(x - least) / {TEMPERATURE}D)), 0D, (a, x) -> a + x)"))
+    )
+    names = F.array(*[F.lit(name) for name in languages])
+    best = names[(F.array_position("all", F.col("least")) - 1).cast("int")]
+    some = F.col("length") > 0
+    result = durable(rated.select(
+        *carried, F.when(some, best).alias("lang_pred"), F.when(some, F.col("least")).alias("entropy"),
+        F.when(some, 1 / F.col("odds")).alias("share"),
+    ))
+    discard(spark, path)
+    shared.unpersist()
+    return result
 
 
 def identify(
     docs: DataFrame,
-    training: DataFrame,
+    training: DataFrame | None = None,
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
+    learn: Column | None = None,
 ) -> DataFrame:
     """(doc_id, lang_pred, score, entropy, rejected) for every row of ``docs``.
 
-    Models and bounds are learnt from ``training`` alone (``text``, ``lang``).
-    The language with the least cross-entropy per character wins, ties by
-    name.  ``rejected`` is true if that cross-entropy is unusual for the
-    language; the score, between 0 and 1, is the language's share among all,
-    lowered for unusual texts.  A null text, or one without letters, is
-    ``und`` with score 0 and rejected; so is everything if nothing could be
-    learnt.  Repeated rows and equal or null doc_ids are each scored; other
-    columns are not read; texts are read whole; an empty table gives no rows.
+    Models and bounds are learnt from ``text`` and ``lang`` of all rows of
+    ``training``, or of the rows of ``docs`` for which ``learn`` is true; rows
+    without a text or a language teach nothing.  The language with the least
+    cross-entropy per character wins, ties by name.  ``rejected`` is true if
+    that cross-entropy is unusual for training texts of the language; the
+    score, between 0 and 1, is the language's share among all, lowered for
+    unusual texts.  A null text, or one without letters, is ``und`` with score
+    0 and rejected; so is everything if nothing could be learnt.  Repeated
+    rows and equal or null doc_ids are each scored; other columns are not
+    read; texts are read whole; an empty table gives no rows.  Languages are a
+    label's few values: each is one number in every word's score.
     """
-    known = inputs(training, text=text, lang=lang).where("text is not null and lang is not null")
-    models = train(known)
-    rows = inputs(docs, id=doc_id, text=text)
-    if not models:
-        rated = rows.select(F.col("id").cast("long"), F.lit(None).cast("string").alias("lang_pred"),
-                            F.lit(None).cast("double").alias("entropy"), F.lit(0.0).alias("share"))
-        bounds = {}
+    marked = F.lit(False) if learn is None else F.coalesce(learn, F.lit(False))
+    rows = docs.select(
+        F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"),
+        (F.col(f"`{lang}`") if learn is not None else F.lit(None).cast("string")).alias("lang"),
+        marked.alias("learn"), F.lit(True).alias("wanted"),
+    )
+    if training is not None:
+        taught = inputs(training, text=text, lang=lang)
+        rows = rows.unionByName(taught.select(
+            F.lit(None).cast("long").alias("id"), "text", "lang", F.lit(True).alias("learn"), F.lit(False).alias("wanted")
+        ))
+    rows = rows.withColumn("learn", F.expr("learn and text is not null and lang is not null"))
+    spark = prepared(docs.sparkSession)
+    path = fresh_path(spark, "language-words")
+    word_counts(rows.where("learn")).write.parquet(path)
+    words = spark.read.parquet(path)
+    models = train(words)
+    if models is None:
+        rated = rows.where("wanted").select(
+            "id", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("entropy"),
+            F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("unusual"),
+        )
     else:
-        bounds = rejection_bounds(known, models)
-        rated = entropies(rows, models)
-    cases = [(name, *bounds.get(name, (0.0, 1.0))) for name in models] or [("", 0.0, 1.0)]
-    table = F.broadcast(docs.sparkSession.createDataFrame(cases, "name string, mean double, deviation double"))
-    unusual = (F.col("entropy") - F.col("mean")) / F.col("deviation") - REJECT_AT
-    sure = F.lit(1.0) / (F.lit(1.0) + F.exp(F.least(unusual, F.lit(40.0))))
-    return rated.join(table, rated.lang_pred == table.name, "left").select(
+        rated = entropies(rows.drop("lang").withColumn("row", F.monotonically_increasing_id()), words, models)
+        taught = rated.where("learn and lang_pred is not null").groupBy(F.col("lang_pred").alias("name")).agg(
+            F.avg("entropy").alias("mean"), F.greatest(F.stddev_pop("entropy"), F.lit(LEAST_DEVIATION)).alias("deviation")
+        )
+        # One row for each language.
+        rated = rated.where("wanted").join(F.broadcast(taught), F.col("lang_pred") == F.col("name"), "left").withColumn(
+            "unusual",
+            F.expr(f"(entropy - coalesce(mean, 0D)) / coalesce(deviation, 1D) - {REJECT_AT}D"),
+        )
+        models.close()
+    discard(spark, path)
+    sure = F.lit(1.0) / (F.lit(1.0) + F.exp(F.least("unusual", F.lit(40.0))))
+    return rated.select(
         F.col("id").alias("doc_id"),
         F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"),
         F.coalesce(F.col("share") * sure, F.lit(0.0)).alias("score"),
         "entropy",
-        F.coalesce(unusual > 0, F.lit(True)).alias("rejected"),
+        F.coalesce(F.col("unusual") > 0, F.lit(True)).alias("rejected"),
     )
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    training = docs.where(crc_mod("doc_id", FOLDS) != HELD_OUT)
-    return identify(docs, training).select(
+    found = identify(docs, learn=crc_mod("doc_id", FOLDS) != HELD_OUT)
+    return found.select(
         "doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", "entropy", "rejected"
     )
