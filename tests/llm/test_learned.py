@@ -130,7 +130,7 @@ def test_languages_of_held_out_rows(spark):
 def test_probabilities_sum_to_one_and_equal_a_plain_model(spark):
     rows = [r for r in language_rows(5, 40) if r[2] == "en"]
     other = [r for r in language_rows(5, 40) if r[2] == "fr"]
-    models = language_id.train(language_id.word_counts(spark.createDataFrame(rows + other, SCHEMA)))
+    models = language_id.train(spark.createDataFrame(rows + other, SCHEMA))
     assert models.languages == ["en", "fr"]
     words = [w for r in rows for w in r[1].split()]
     counts = {}
@@ -174,12 +174,12 @@ def test_probabilities_sum_to_one_and_equal_a_plain_model(spark):
     models.close()
 
 
-def test_words_scored_by_joins_and_by_the_frequent_table_agree(spark, monkeypatch):
+def test_words_scored_by_joins_and_by_frequent_grams_agree(spark, monkeypatch):
     train, test = language_rows(1, 120), language_rows(2, 60)
     test.append((999, "thin " * 3 + "zz" * 2000 + " 漢字", None, *[None] * 5))
     docs, known = spark.createDataFrame(test + odd_rows(), SCHEMA), spark.createDataFrame(train, SCHEMA)
     found = []
-    for cells in (0, 60, language_id.FREQUENT_CELLS):
+    for cells in (60, language_id.FREQUENT_CELLS):
         monkeypatch.setattr(language_id, "FREQUENT_CELLS", cells)
         rows = language_id.identify(docs, known).collect()
         found.append(sorted([(str(r["doc_id"]), r["lang_pred"], r["rejected"], r["score"], r["entropy"] or 0) for r in rows]))

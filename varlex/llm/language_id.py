@@ -18,10 +18,11 @@ from varlex.session import discard, fresh_path
 
 FOLDS, HELD_OUT = 4, 2
 ORDER = 4
-# Numbers (words times languages) that are sent to every task as scores of frequent words, and their longest word;
-# all other words are scored by joins, with the same result.
-FREQUENT_CELLS = 2_000_000
-FREQUENT_CHARS = 64
+# Numbers (n-grams times languages) that are sent to every task as scores of frequent n-grams; words with any other
+# n-gram are scored by joins, with the same result.
+FREQUENT_CELLS = 4_000_000
+# Words kept with their scores by each task, and the longest of them.
+WORDS_KEPT, KEPT_CHARS = 200_000, 64
 # A document is rejected if its cross-entropy is so many standard deviations above its language's mean.
 REJECT_AT = 4.0
 LEAST_DEVIATION = 0.02
@@ -30,12 +31,13 @@ TEMPERATURE = 0.1
 WORD = re.compile(r"[^\W\d_]+")
 START, END = "^", "$"
 UNKNOWN = "und"
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 # Words or characters that are cut into n-grams at a time.
 CUT_WORDS, CUT_CHARS = 50_000, 2 << 20
 
 
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of the highest order as strings, and how many each word has.
+    """All n-grams of the highest order (one row of code points each) and how many each word has.
 
     A word is framed by start marks and one end mark; it has one n-gram for
     each of its characters and one for its end.
@@ -46,8 +48,16 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum(lengths + ORDER - 1) - (lengths + ORDER - 1)
     first = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    rows = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[first]
-    return np.ascontiguousarray(rows).view(f"<U{ORDER}")[:, 0], lengths
+    return np.lib.stride_tricks.sliding_window_view(codes, ORDER)[first] if len(codes) else np.empty((0, ORDER), np.uint32), lengths
+
+
+def hashed(grams: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of code points; the width is part of it."""
+    found = np.full(len(grams), grams.shape[1], np.uint64)
+    for k in range(grams.shape[1]):
+        found = (found ^ grams[:, k]) * MULTIPLIER
+        found ^= found >> np.uint64(31)
+    return found
 
 
 def _gathered(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[list]]:
@@ -65,68 +75,57 @@ def _gathered(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> It
         yield held
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n): lower-cased words of all texts, added up within each task first."""
+def _gram_counts(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n): n-grams of the highest order of all training texts, added up within each task first."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        chars = 0
+        words: dict[str, Counter] = {}
+
+        def count() -> None:
+            for lang, found in words.items():
+                grams, lengths = windows(list(found))
+                times = np.repeat(np.fromiter(found.values(), np.int64, len(found)), lengths)
+                names = np.ascontiguousarray(grams).view(f"<U{ORDER}")[:, 0]
+                different, where = np.unique(names, return_inverse=True)
+                totals = np.bincount(where, times, len(different)).astype(np.int64)
+                into = held.setdefault(lang, Counter())
+                for gram, n in zip(different.tolist(), totals.tolist()):
+                    into[gram] += n
+            words.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in held.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()),
-                     pa.array(list(found.values()), pa.int64())],
-                    ["lang", "word", "n"],
+                    [pa.array([lang] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())],
+                    ["lang", "gram", "n"],
                 )
             held.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                into = held.setdefault(lang, Counter())
-                chars += len(text)
+                into = words.setdefault(lang, Counter())
                 for found in chunked_matches(WORD, text.lower()):
                     into.update(found)
-            if sum(map(len, held.values())) > 300_000 or chars > 256 << 20:
+            if sum(map(len, words.values())) > 100_000:
+                count()
+            if sum(map(len, held.values())) > 500_000:
                 yield from flush()
-                chars = 0
+        count()
         yield from flush()
 
-    counted = docs.select("lang", "text").mapInArrow(scan, "lang string, word string, n long")
-    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-
-def _gram_counts(words: DataFrame) -> DataFrame:
-    """(lang, gram, n): n-grams of the highest order of counted words."""
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, langs, times in _gathered(batches, ("word", "lang", "n")):
-            grams, lengths = windows(words)
-            names, codes = np.unique(np.array(langs, object), return_inverse=True)
-            different, where = np.unique(grams, return_inverse=True)
-            pairs, at = np.unique(np.repeat(codes, lengths) * np.int64(len(different)) + where, return_inverse=True)
-            totals = np.zeros(len(pairs), np.int64)
-            np.add.at(totals, at, np.repeat(np.array(times, np.int64), lengths))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[pairs // len(different)].tolist(), pa.string()),
-                 pa.array(different[pairs % len(different)].tolist(), pa.string()), pa.array(totals)],
-                ["lang", "gram", "n"],
-            )
-
-    return (
-        words.select("word", "lang", "n").mapInArrow(cut, "lang string, gram string, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    )
+    counted = docs.select("lang", "text").mapInArrow(scan, "lang string, gram string, n long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def gram_tables(words: DataFrame) -> DataFrame:
-    """(lang, size, gram, n, total, types) of every order, from counted training words.
+def gram_tables(docs: DataFrame) -> DataFrame:
+    """(lang, size, gram, n, total, types) of every order, from all training texts.
 
     Counts below the highest order are numbers of different characters in
     front; ``total`` and ``types`` belong to the context, of which no more
     n-grams than the alphabet has letters share one.
     """
-    orders = [durable(_gram_counts(words))]
+    orders = [durable(_gram_counts(docs))]
     for order in range(ORDER - 1, 0, -1):
         shorter = F.expr(f"substring(gram, 2, {order})").alias("gram")
         orders.append(orders[-1].select("lang", shorter).groupBy("lang", "gram").agg(F.count("*").alias("n")))
@@ -153,13 +152,15 @@ class Models:
     n-gram with its probabilities, or of a context with its back-off weights,
     by the language's place in ``languages``.  The files are sorted by hash,
     of any size, and go with ``close``.  ``unseen`` is what each language
-    gives a character that it never met, before any weight.
+    gives a character that it never met, before any weight; ``counted`` holds
+    the n-grams of the highest order with their counts, language by language.
     """
 
     spark: SparkSession
     path: str
     languages: list[str]
     unseen: list[float]
+    counted: DataFrame
 
     def _stored(self, size: int, kind: str, key: str, values: str) -> DataFrame:
         rows = self.spark.read.parquet(self.path).where((F.col("size") == size) & (F.col("kind") == kind))
@@ -172,9 +173,9 @@ class Models:
         next lower order's results once; every join key is shared by no more
         rows than the alphabet has letters.
         """
-        wanted = {ORDER: grams.select("gram").distinct()}
-        for size in range(ORDER - 1, 0, -1):
-            wanted[size] = wanted[size + 1].select(F.expr("substring(gram, 2)").alias("gram")).distinct()
+        endings = F.explode(F.array(*[F.expr(f"substring(gram, {k})") for k in range(1, ORDER + 1)]))
+        ends = durable(grams.select("gram").distinct().select(endings.alias("gram")).distinct())
+        wanted = {size: ends.where(F.length("gram") == size) for size in range(1, ORDER + 1)}
         lower = None
         for size in range(1, ORDER + 1):
             rows = wanted[size].select(
@@ -201,7 +202,8 @@ class Models:
 
         def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for found, keys in _gathered(batches, ("word", "key")):
-                grams, lengths = windows(found)
+                codes, lengths = windows(found)
+                grams = np.ascontiguousarray(codes).view(f"<U{ORDER}")[:, 0]
                 different, where = np.unique(grams, return_inverse=True)
                 owner = np.repeat(np.arange(len(found)), lengths)
                 pairs, n = np.unique(owner * np.int64(len(different)) + where, return_counts=True)
@@ -225,15 +227,15 @@ class Models:
         discard(self.spark, self.path)
 
 
-def train(words: DataFrame) -> Models | None:
-    """Models of all languages from counted words (lang, word, n); None without any.
+def train(docs: DataFrame) -> Models | None:
+    """Models of all languages of ``docs`` (``lang``, ``text``, neither null); None without any word.
 
     P(c | h) = max(n - D, 0) / total + D * types / total * P(c | shorter h),
     with one discount D for each language and order.  Every n-gram of every
     language is kept; only discounts and the languages' names reach the driver.
     """
-    spark = prepared(words.sparkSession)
-    tables = gram_tables(words)
+    spark = prepared(docs.sparkSession)
+    tables = gram_tables(docs)
     found = tables.groupBy("lang", "size").agg(
         F.count("*").alias("grams"),
         F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"),
@@ -260,6 +262,7 @@ def train(words: DataFrame) -> Models | None:
     stored, lower = None, None
     for size in range(1, ORDER + 1):
         level = rows.where(F.col("size") == size)
+        weights = level.select("place", F.expr(f"substring(gram, 1, {size - 1})").alias("gram"), F.col("weight").alias("value")).distinct()
         if lower is None:
             known = F.array(*[F.lit(x) for x in unseen])
             level = level.withColumn("low", known[F.col("place")])
@@ -268,7 +271,8 @@ def train(words: DataFrame) -> Models | None:
                 lower.select("place", F.col("gram").alias("suffix"), F.col("value").alias("low")), ["place", "suffix"]
             )
         p = level.select("place", "gram", F.expr("own + weight * low").alias("value"))
-        weights = level.select("place", F.expr(f"substring(gram, 1, {size - 1})").alias("gram"), F.col("weight").alias("value")).distinct()
+        if 1 < size < ORDER:
+            p = durable(p)
         for kind, values in (("p", p), ("weight", weights)):
             part = values.select(F.lit(size).alias("size"), F.lit(kind).alias("kind"), "gram", "place", "value")
             stored = part if stored is None else stored.unionByName(part)
@@ -281,57 +285,103 @@ def train(words: DataFrame) -> Models | None:
         .repartition("key").sortWithinPartitions("size", "kind", "key")
         .write.partitionBy("size", "kind").parquet(path)
     )
-    return Models(spark, path, languages, unseen)
+    return Models(spark, path, languages, unseen, tables.where(F.col("size") == ORDER).select("gram", "n"))
 
 
-def _frequent(words: DataFrame, models: Models) -> tuple[list[str], np.ndarray]:
-    """The most frequent training words that the bound has room for, and their (log sums by language, length).
+def _frequent(models: Models) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent training n-grams that the bound has room for, and their logarithms by language.
 
     Whole powers of two of their counts, so that nothing is sorted.
     """
-    rows = words.where(F.length("word") <= FREQUENT_CHARS).groupBy("word").agg(F.sum("n").alias("n"))
-    rows = rows.withColumn("level", F.length(F.bin("n")))
-    room, least = FREQUENT_CELLS // (len(models.languages) + 1), None
+    rows = models.counted.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("level", F.length(F.bin("n")))
+    room, least = FREQUENT_CELLS // len(models.languages), None
     for r in sorted(rows.groupBy("level").count().collect(), key=lambda r: -r["level"]):
         room -= r["count"]
         if room < 0:
             break
         least = r["level"]
     if least is None:
-        return [], np.empty((0, len(models.languages) + 1), np.float32)
-    chosen = rows.where(F.col("level") >= least).select("word", _key("word").alias("key"))
-    found = chosen.join(models.words(chosen), "key").select("word", "sums", "chars").toArrow()
-    sums = found.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, len(models.languages))
-    return found.column("word").to_pylist(), np.column_stack((sums, found.column("chars").to_numpy())).astype(np.float32)
-
-
-def entropies(docs: DataFrame, words: DataFrame, models: Models) -> DataFrame:
+        return np.empty(0, np.uint64), np.empty((0, len(models.languages)), np.float32)
+    found = models.probabilities(rows.where(F.col("level") >= least)).toArrow()
+    codes = np.frombuffer("".join(found.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    keys = hashed(codes.reshape(-1, ORDER))
+    p = found.column("p").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+    order = np.argsort(keys)
+    return keys[order], np.log(p[order]).astype(np.float32)
+
+
+class Scorer:
+    """Log sums of words by frequent n-grams, kept as long as there is room; other words have none."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = keys, logs
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.rows = np.empty((0, self.logs.shape[1] + 1), np.float64)
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (log sums, length) of the words, and which of them have one."""
+        grams, lengths = windows(words)
+        different, where = np.unique(hashed(grams), return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, different), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == different if len(self.keys) else np.zeros(len(different), bool)
+        starts = np.cumsum(lengths) - lengths
+        if not len(self.keys):
+            return np.zeros((len(words), self.logs.shape[1] + 1)), np.zeros(len(words), bool)
+        sums = np.add.reduceat(self.logs[at][where], starts, axis=0, dtype=np.float64)
+        return np.column_stack((sums, lengths)), np.logical_and.reduceat(known[where], starts)
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.places and len(w) <= KEPT_CHARS]
+        if len(self.places) + len(new) > WORDS_KEPT:
+            self._clear()
+            new = [w for w in words if len(w) <= KEPT_CHARS]
+        for k in range(0, len(new), CUT_WORDS):
+            part = new[k : k + CUT_WORDS]
+            rows, known = self.score(part)
+            at = np.where(known, len(self.rows) + np.arange(len(part)), -1)
+            self.rows = np.concatenate((self.rows, rows))
+            self.places.update(zip(part, at.tolist()))
+
+    def total(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The sum of the words that have a row, and the other words."""
+        at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
+        known = at >= 0
+        return self.rows[at[known]].sum(axis=0), [words[k] for k in np.flatnonzero(~known)]
+
+
+def entropies(docs: DataFrame, models: Models) -> DataFrame:
     """All columns but ``text``, with the best language, its cross-entropy and its share; nulls without letters.
 
-    ``row`` is an address of its own for each row.  Frequent words are added up where the texts are read; the others leave as
-    (row, word, count), are scored once each and come back by an equi-join.
+    ``row`` is an address of its own for each row.  Words of frequent n-grams are added up where the texts are read; the others
+    leave as (row, word, count), are scored once each and come back by an equi-join.
     """
     spark = docs.sparkSession
-    frequent = _frequent(words, models)
+    frequent = _frequent(models)
     shared = spark.sparkContext.broadcast(frequent)
     languages = models.languages
     carried = [c for c in docs.columns if c != "text"]
     fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, scores = shared.value
-        places = dict(zip(known, range(len(known))))
+        scorer = Scorer(*shared.value)
         for batch in batches:
             rows, sums, chars = batch.column("row").to_pylist(), [], []
             other: list[tuple[int, str, int]] = []
-            for row, text in zip(rows, batch.column("text").to_pylist()):
-                total = np.zeros(scores.shape[1])
+            texts = [t.lower() if t else "" for t in batch.column("text").to_pylist()]
+            short = [WORD.findall(t) if len(t) <= 1 << 20 else None for t in texts]
+            scorer.learn({w for words in short if words for w in words})
+            for row, text, words in zip(rows, texts, short):
+                total = np.zeros(len(languages) + 1)
                 rare: Counter = Counter()
-                for found in chunked_matches(WORD, text.lower()) if text else ():
-                    at = np.fromiter(map(places.get, found, repeat(-1)), np.int64, len(found))
-                    seen = at >= 0
-                    total += scores[at[seen]].sum(axis=0, dtype=np.float64)
-                    rare.update([found[k] for k in np.flatnonzero(~seen)])
+                for found in chunked_matches(WORD, text) if words is None else (words,):
+                    if words is None:
+                        scorer.learn(set(found))
+                    part, unknown = scorer.total(found)
+                    total += part
+                    rare.update(unknown)
                 sums.append(total[:-1].tolist())
                 chars.append(int(total[-1]))
                 other += [(row, word, n) for word, n in rare.items()]
@@ -414,18 +464,15 @@ def identify(
             F.lit(None).cast("long").alias("id"), "text", "lang", F.lit(True).alias("learn"), F.lit(False).alias("wanted")
         ))
     rows = rows.withColumn("learn", F.expr("learn and text is not null and lang is not null"))
-    spark = prepared(docs.sparkSession)
-    path = fresh_path(spark, "language-words")
-    word_counts(rows.where("learn")).write.parquet(path)
-    words = spark.read.parquet(path)
-    models = train(words)
+    prepared(docs.sparkSession)
+    models = train(rows.where("learn"))
     if models is None:
         rated = rows.where("wanted").select(
             "id", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("entropy"),
             F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("unusual"),
         )
     else:
-        rated = entropies(rows.drop("lang").withColumn("row", F.monotonically_increasing_id()), words, models)
+        rated = entropies(rows.drop("lang").withColumn("row", F.monotonically_increasing_id()), models)
         taught = rated.where("learn and lang_pred is not null").groupBy(F.col("lang_pred").alias("name")).agg(
             F.avg("entropy").alias("mean"), F.greatest(F.stddev_pop("entropy"), F.lit(LEAST_DEVIATION)).alias("deviation")
         )
@@ -435,7 +482,6 @@ def identify(
             F.expr(f"(entropy - coalesce(mean, 0D)) / coalesce(deviation, 1D) - {REJECT_AT}D"),
         )
         models.close()
-    discard(spark, path)
     sure = F.lit(1.0) / (F.lit(1.0) + F.exp(F.least("unusual", F.lit(40.0))))
     return rated.select(
         F.col("id").alias("doc_id"),
