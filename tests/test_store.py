@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from varlex import fixed
 from varlex.operators import report
 from varlex.operators.ordering import ORD
+from varlex.plans import ingest
 from varlex.plans.ingest import build_if_missing, embed_corpus, harmonise, run_ingest
 from varlex.session import fresh_path, shared_dir
 from varlex.sources import sinks
@@ -96,6 +98,20 @@ def test_embed_corpus_encodes_only_changes(spark, tmp_path):
     assert content(spark, path) == [("a", "s", "one"), ("b", "s", "three"), ("c", "s", "four")]
 
 
+def test_only_the_last_row_of_an_id_is_encoded_and_vectors_are_not_staged(spark, tmp_path, monkeypatch):
+    path, staged = str(tmp_path / "store"), []
+    monkeypatch.setattr(ingest, "discard", lambda s, p: staged.append(s.read.parquet(p)))
+    rows = updates(spark, [("a", "s", "old"), ("b", "s", "x"), ("a", "s", "one"), ("n", None, "none")]).drop("vector")
+    embed_corpus(spark, rows, path)
+    assert "vector" not in staged[0].columns and staged[0].count() == 3
+    assert content(spark, path) == [("a", "s", "one"), ("b", "s", "x"), ("n", None, "none")]
+    assert {len(r["vector"]) for r in scan_vector_store(spark, path).collect()} == {fixed.EMBED_DIM}
+    # The last row of "a" is what the store has, so neither of its rows changes anything.
+    embed_corpus(spark, updates(spark, [("a", "s", "two"), ("c", "s", "y"), ("a", "s", "one")]).drop("vector"), path)
+    assert [r["id"] for r in staged[1].collect()] == ["c"]
+    assert content(spark, path) == [("a", "s", "one"), ("b", "s", "x"), ("c", "s", "y"), ("n", None, "none")]
+
+
 def test_a_batch_never_loses_rows_of_sources_that_are_not_named(spark, tmp_path):
     path = str(tmp_path / "store")
     embed_corpus(spark, updates(spark, [("p1", "p", "a"), ("q1", "q", "b"), ("q2", "q", "c")]).drop("vector"), path)
