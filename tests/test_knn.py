@@ -143,3 +143,27 @@ def test_built_in_scores_agree_with_the_kernel(frames, data):
     pairs = found.join(q.select("query_id", F.col("vector").alias("left")), "query_id").select(
         "query_id", "id", F.col("distance").alias("expected"), "left", F.col("vector").alias("right"))
     assert knn.pair_scores(pairs).where(F.abs(F.col("expected") - F.col("distance")) > 1e-6).count() == 0
+
+
+def test_blocks_grow_with_the_table(frames, data):
+    q, c = frames
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    for n in (900, 90_000, 900_000):
+        rows, queries = knn.block_sizes([n], [n], 256, 256, cores)
+        assert rows <= knn.BLOCK_ROWS and queries <= knn.QUERY_BLOCK_ROWS
+        full = -(-n // knn.BLOCK_ROWS) * -(-n // knn.QUERY_BLOCK_ROWS)
+        assert -(-n // rows) * -(-n // queries) <= max(full, knn.MEETINGS_PER_CORE * cores)
+    # Blocks that are asked to be larger than the limit stay as they are.
+    assert knn.block_sizes([10], [10], 1 << 20, 1 << 20, cores) == (1 << 20, 1 << 20)
+    # Blocks of one row each would send every row 940 times.
+    found = knn.knn_join(q, c, K, max_broadcast_queries=0, block_rows=1, query_block_rows=1)
+    assert got(found) == brute(data)
+
+
+@pytest.mark.parametrize("plan", ["broadcast", "blocks"])
+def test_candidates_may_be_merged_at_any_time(frames, data, monkeypatch, plan):
+    q, c = frames
+    monkeypatch.setattr(knn, "SCORES_AT_ONCE", 300)
+    for rows in (1, 1 << 20):
+        monkeypatch.setattr(knn, "MERGE_ROWS", rows)
+        assert got(knn.knn_join(q, c, K, **PLANS[plan])) == brute(data)

@@ -5,7 +5,9 @@ Two exact physical plans share one kernel:
 * few queries (a checked size): the query matrix is broadcast, the corpus never
   moves, each partition keeps its own best k per query;
 * many queries: both sides are hashed into even blocks, every query block meets
-  every corpus block once, and each meeting again keeps only its best k.
+  every corpus block once, and each meeting again keeps only its best k.  Blocks
+  are as large as memory and the number of cores allow, since a row is sent
+  once for each block of the other side.
 
 Either way at most k rows per query leave a task; pairs are never written out.
 """
@@ -34,8 +36,12 @@ MAX_BROADCAST_BYTES = 128 << 20
 # Rows per block of the block plan: about 100 MB of 384-d float32 vectors.
 BLOCK_ROWS = 65_536
 QUERY_BLOCK_ROWS = 16_384
-# Scores held at once by the kernel (32 MB of doubles).
-SCORES_AT_ONCE = 4 << 20
+# Meetings of two blocks for each core; with more of them than that blocks grow.
+MEETINGS_PER_CORE = 6
+# Scores held at once by the kernel (8 MB of doubles).
+SCORES_AT_ONCE = 1 << 20
+# Candidates that wait to be merged, at least.
+MERGE_ROWS = 65_536
 
 
 @dataclass
@@ -92,27 +98,27 @@ class _Best:
         self.key = np.empty(0)
         self.id = pa.array([], type=id_type)
         self.last = pa.nulls(len(queries.ids), id_type)
-        self.length = (queries.matrix**2).sum(axis=1)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.right = -queries.matrix
+        if metric == "l2sq" and len(queries.ids):
+            # x.x - 2 x.y + y.y as one product of (x, x.x, 1) and (-2 y, 1, y.y).
+            length = (queries.matrix**2).sum(axis=1)
+            self.right = np.column_stack([2.0 * self.right, np.ones(len(length)), length])
 
     def add(self, ids: pa.Array, vectors: np.ndarray, accepted: np.ndarray | None) -> None:
         chosen = np.arange(len(self.bound)) if accepted is None else np.flatnonzero(accepted)
         if not len(chosen) or not len(ids):
             return
+        right = self.right if len(chosen) == len(self.bound) else self.right[chosen]
         step = max(1, SCORES_AT_ONCE // len(chosen))
         for start in range(0, len(ids), step):
-            self._add_block(ids.slice(start, step), vectors[start : start + step], chosen)
+            self._add_block(ids.slice(start, step), vectors[start : start + step], chosen, right)
 
-    def _add_block(self, ids: pa.Array, vectors: np.ndarray, chosen: np.ndarray) -> None:
+    def _add_block(self, ids: pa.Array, vectors: np.ndarray, chosen: np.ndarray, right: np.ndarray) -> None:
         block = vectors.astype(np.float64)
-        matrix = self.queries.matrix if len(chosen) == len(self.bound) else self.queries.matrix[chosen]
-        keys = block @ matrix.T
         if self.metric == "l2sq":
-            keys *= -2.0
-            keys += (block**2).sum(axis=1)[:, None]
-            keys += self.length[chosen][None, :]
-            np.maximum(keys, 0.0, out=keys)
-        else:
-            np.negative(keys, out=keys)
+            block = np.column_stack([block, (block**2).sum(axis=1), np.ones(len(block))])
+        keys = block @ right.T
         # Half a unit in the last kept digit may still round to the bound.
         bound = self.bound[chosen]
         if len(ids) > self.k and np.isinf(bound).any():
@@ -120,19 +126,28 @@ class _Best:
         rows, columns = np.nonzero(keys <= bound[None, :] + 10.0**-SCORE_DIGITS)
         if not len(rows):
             return
-        found = np.round(keys[rows, columns], SCORE_DIGITS) + 0.0
+        found = keys[rows, columns]
+        if self.metric == "l2sq":
+            np.maximum(found, 0.0, out=found)
+        found = np.round(found, SCORE_DIGITS) + 0.0
         who = chosen[columns]
         names = ids.take(pa.array(rows))
         worst = self.bound[who]
         earlier = pc.less(names, self.last.take(pa.array(who))).fill_null(True)
         keep = (found < worst) | ((found == worst) & earlier.to_numpy(zero_copy_only=False))
         if keep.any():
-            self._merge(who[keep], found[keep], names.filter(pa.array(keep)))
+            self.waiting.append((who[keep], found[keep], names.filter(pa.array(keep))))
+            # Bounds may be old for a while, as a merge sorts all that is kept.
+            if sum(len(q) for q, _, _ in self.waiting) >= max(len(self.q), MERGE_ROWS):
+                self._merge()
 
-    def _merge(self, who: np.ndarray, keys: np.ndarray, names: pa.Array) -> None:
-        q = np.concatenate([self.q, who])
-        key = np.concatenate([self.key, keys])
-        name = pa.concat_arrays([self.id, names])
+    def _merge(self) -> None:
+        if not self.waiting:
+            return
+        q = np.concatenate([self.q, *(w[0] for w in self.waiting)])
+        key = np.concatenate([self.key, *(w[1] for w in self.waiting)])
+        name = pa.concat_arrays([self.id, *(w[2] for w in self.waiting)])
+        self.waiting = []
         order = pc.sort_indices(
             pa.table({"q": q, "key": key, "id": name}),
             sort_keys=[("q", "ascending"), ("key", "ascending"), ("id", "ascending")],
@@ -151,6 +166,7 @@ class _Best:
             self.last = name.take(pa.array(last, mask=last < 0))
 
     def batch(self) -> pa.RecordBatch:
+        self._merge()
         return pa.RecordBatch.from_arrays(
             [self.queries.ids.take(pa.array(self.q)), self.id, pa.array(self.key)],
             ["query_id", "id", "_key"],
@@ -215,7 +231,8 @@ def knn_join(
     depend on how rows were partitioned, and ties go to the smaller id.
     Only ids, vectors and filter columns are scanned for the search; ``payload``
     names corpus columns to join back for the winners, ``carry`` query columns
-    to keep.  ``scan_tasks`` merges scan splits into that many tasks, without a shuffle,
+    to keep.  Blocks of the plan for many queries have at least ``block_rows``
+    and ``query_block_rows`` rows.  ``scan_tasks`` merges scan splits into that many tasks, without a shuffle,
     so that a corpus of very many splits writes fewer local candidates.
     """
     if metric not in ("l2sq", "dot"):
@@ -279,6 +296,30 @@ def _broadcast_plan(
     return rows.mapInArrow(scan, schema)
 
 
+def block_sizes(
+    rows: Sequence[int], queries: Sequence[int], block_rows: int, query_block_rows: int, cores: int
+) -> tuple[int, int]:
+    """Rows of a corpus block and of a query block for groups of these sizes.
+
+    At least the rows asked for; blocks are doubled, up to the module's limits,
+    while there are more meetings than keep all cores busy.  So the number of
+    times that a row is sent doesn't grow with the table before blocks are full.
+    """
+
+    def blocks(groups: Sequence[int], size: int) -> int:
+        return sum(-(-int(n) // size) for n in groups)
+
+    while blocks(rows, block_rows) * blocks(queries, query_block_rows) > MEETINGS_PER_CORE * cores:
+        corpus, asked = block_rows < BLOCK_ROWS, query_block_rows < QUERY_BLOCK_ROWS
+        if corpus and (block_rows <= query_block_rows or not asked):
+            block_rows = min(2 * block_rows, BLOCK_ROWS)
+        elif asked:
+            query_block_rows = min(2 * query_block_rows, QUERY_BLOCK_ROWS)
+        else:
+            break
+    return block_rows, query_block_rows
+
+
 def _block_plan(
     queries: DataFrame,
     rows: DataFrame,
@@ -294,8 +335,11 @@ def _block_plan(
     Block numbers come from a row hash, so a value shared by a third of the
     rows does not make a block larger.
     """
-    corpus_blocks = max(1, -(-rows.count() // block_rows))
-    query_blocks = max(1, -(-queries.count() // query_block_rows))
+    n_rows, n_queries = rows.count(), queries.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    block_rows, query_block_rows = block_sizes([n_rows], [n_queries], block_rows, query_block_rows, cores)
+    corpus_blocks = max(1, -(-n_rows // block_rows))
+    query_blocks = max(1, -(-n_queries // query_block_rows))
     id_type = _arrow_type(schema["id"].dataType)
 
     def numbers(n: int) -> Column:
