@@ -102,3 +102,11 @@ def test_voronoi_moves_and_scores_less_than_the_grid(spark):
     costs = {r["plan"]: r for r in voronoi.join_costs(queries, corpus, K, 12, 300, 60).collect()}
     assert costs["voronoi"]["pairs_scored"] < costs["grid"]["pairs_scored"] / 2
     assert costs["voronoi"]["rows_shuffled"] < costs["grid"]["rows_shuffled"] / 2
+
+
+def test_voronoi_sends_rows_to_few_blocks(spark):
+    queries, corpus = frames(spark, clustered=False, n=1000, q=200)
+    costs = {r["plan"]: r for r in voronoi.join_costs(queries, corpus, K, 4, 2, 2).collect()}
+    # Nothing is pruned here: with blocks of two rows every row would go to a hundred or more.
+    assert costs["voronoi"]["rows_shuffled"] < 1200 * 20
+    assert rows(voronoi.knn_join_voronoi(queries, corpus, K, 4, 2, 2)) == rows(knn.knn_join(queries, corpus, K))

@@ -3,8 +3,8 @@
 Pivots divide both sides into cells.  From the distances of rows to their own
 pivot follows how far the k-th neighbour of a query can be, and so which cells
 of the corpus it has to meet; rows that no query of a cell can reach aren't
-sent there.  Cells of many rows are dealt out over blocks of bounded size; a
-query block and a corpus block meet in one task, which hands on its best k
+sent there.  Cells of many rows are dealt out over blocks, as large as memory
+and the number of cores allow; a query block and a corpus block meet in one task, which hands on its best k
 rows for each query, and these are merged in two steps.
 """
 
@@ -20,12 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varlex.operators.cell_index import fitting_sample
-from varlex.operators.knn import _arrow_type, _Best, _load_queries, _matrix
+from varlex.operators.knn import BLOCK_ROWS, QUERY_BLOCK_ROWS, _arrow_type, _Best, _load_queries, _matrix, block_sizes
 from varlex.operators.ordering import first_n
 
 PIVOTS = 64
-BLOCK_ROWS = 65_536
-QUERY_BLOCK_ROWS = 16_384
 # Squared distances that agree in six digits are ties, so bounds give way by more than that.
 SLACK = 2e-3
 MERGE_LANES = 8
@@ -103,13 +101,19 @@ def survey(queries: DataFrame, corpus: DataFrame, pivots: np.ndarray, k: int, bl
     n = len(pivots)
     apart = distances(pivots, pivots)
     blocks, radius, nearest = np.zeros(n, np.int64), np.full(n, -1.0), np.full((n, k), np.inf)
-    # Only the k nearest rows of a cell are ranked behind the shuffle.
-    for row in corpus.groupBy("cell").agg(F.count("*").alias("rows"), F.max("gap").alias("radius")).collect():
+    of_rows = corpus.groupBy("cell").agg(F.count("*").alias("rows"), F.max("gap").alias("radius")).collect()
+    of_queries = queries.groupBy("cell").agg(F.count("*").alias("rows"), F.max("gap").alias("radius")).collect()
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    block_rows, query_block_rows = block_sizes(
+        [r["rows"] for r in of_rows], [r["rows"] for r in of_queries], block_rows, query_block_rows, cores
+    )
+    for row in of_rows:
         blocks[row["cell"]], radius[row["cell"]] = -(-row["rows"] // block_rows), row["radius"]
+    # Only the k nearest rows of a cell are ranked behind the shuffle.
     for row in first_n(corpus.select("cell", "gap"), k, ["cell"], [F.col("gap").asc()], "place").collect():
         nearest[row["cell"], row["place"] - 1] = row["gap"]
     query_blocks, query_radius, reach = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-    for row in queries.groupBy("cell").agg(F.count("*").alias("rows"), F.max("gap").alias("radius")).collect():
+    for row in of_queries:
         cell = row["cell"]
         query_blocks[cell], query_radius[cell] = -(-row["rows"] // query_block_rows), row["radius"]
         reach[cell] = kth_bound(np.array([row["radius"]]), apart[cell : cell + 1], nearest, k)[0]
@@ -193,7 +197,8 @@ def knn_join_voronoi(
 
     Returns (query_id, vector_rank, id, distance); distances are rounded to six
     digits and ties go to the smaller id, as in ``knn_join``.  Neither side
-    need fit anywhere; rows without a vector are left out.
+    need fit anywhere; rows without a vector are left out.  Blocks have at
+    least ``block_rows`` and ``query_block_rows`` rows of a cell, if it has so many.
     """
     asked, rows, cells = _prepared(queries, corpus, k, pivots, block_rows, query_block_rows)
     schema = T.StructType([
