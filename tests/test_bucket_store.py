@@ -89,6 +89,19 @@ def test_embedding_only_what_changed(spark, path):
     assert B.history(spark, path).agg(F.max("number")).first()[0] == 1
 
 
+def test_batches_are_staged_once_for_each_id_and_without_vectors(spark, path, monkeypatch):
+    staged = []
+    monkeypatch.setattr(B, "discard", lambda s, p: staged.append(s.read.parquet(p)))
+    items = [(3, "a"), (4, None), (500, "new"), (5, "x"), (3, "b"), (5, "text 5")]
+    B.embed_batch(spark, batch(spark, items).drop("vector"), path, "staged")
+    # The last row of r5 is what the store has.
+    assert sorted(r["id"] for r in staged[0].collect()) == ["r3", "r4", "r500"] and "vector" not in staged[0].columns
+    stored = B.read_store(spark, path)
+    assert stored.count() == 201 and {f.name for f in stored.schema} == set(B.SCHEMA.names)
+    found = texts(stored)
+    assert (found["r3"][1], found["r4"][1], found["r5"][1], found["r500"][1]) == ("b", None, "text 5", "new")
+
+
 def test_empty_batches_and_stores(spark):
     path = fresh_path(spark, "test-buckets")
     assert B.read_store(spark, path).count() == 0

@@ -1,5 +1,7 @@
 """Landed files to a store with a report, and the catalogue of wide tables."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,14 @@ def test_ingest_reports_every_registry_and_repeats_nothing(spark, tmp_path):
     assert again.count() == 8  # two runs of the batch
 
 
+def test_specs_whose_ids_are_the_key_have_unique_ids():
+    assert all(spec.unique_ids for spec in HASH_SPECS.values())
+    who = HASH_SPECS["who"]
+    assert not replace(who, dedup=None).unique_ids
+    assert not replace(who, id="{Code}_{Name}").unique_ids and not replace(who, id="{Name}").unique_ids
+    assert not replace(who, id="{Code[:3]}").unique_ids
+
+
 def test_stream_batches_are_reported(spark, tmp_path):
     landing, store, checkpoint, report = (str(tmp_path / n) for n in ("landing", "store", "checkpoint", "report"))
     listener = StreamReport(spark, report, "nih_allofus")

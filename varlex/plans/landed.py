@@ -97,7 +97,7 @@ def ingest_landed(
                 raw = landed_or_fallback(spark, spec, None)
             if raw is not None:
                 rows = harmonise_registry(raw, spec)
-                bucket_store.embed_batch(spark, rows, store, f"{batch}/{key}", encoder, buckets)
+                bucket_store.embed_batch(spark, rows, store, f"{batch}/{key}", encoder, buckets, spec.unique_ids)
                 sizes["n_rows"] = rows.count()
         except Exception as failure:  # noqa: BLE001 - reported, not swallowed
             status, error = "failed", str(failure)

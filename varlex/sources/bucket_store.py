@@ -18,13 +18,14 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varlex.operators.embed import EncoderFactory, add_hash_vector, model_embed
+from varlex.operators.embed import EncoderFactory, add_hash_vector, dealt_for_vectors, model_embed
 from varlex.operators.ordering import ORD, dedup_keep_last
 from varlex.session import discard, fresh_path
 from varlex.sources.stores import STORE_SCHEMA
@@ -161,7 +162,7 @@ def _touched(updates: DataFrame) -> list[tuple[int, int]]:
 
 def upsert(
     spark: SparkSession, path: str, updates: DataFrame, batch: str, order: Column | str = ORD,
-    buckets: int = BUCKETS, based_on: int | None = None,
+    buckets: int = BUCKETS, based_on: int | None = None, encode: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Manifest:
     """Replace or insert whole rows by id, as one commit; the last row of an id in ``order`` wins.
 
@@ -171,7 +172,9 @@ def upsert(
     or at the commit, that is a ``StoreConflict``.  An id belongs to one
     source, as it carries its prefix.  Only the touched buckets are read and
     written; a bucket is as large as its share of a source, so a hot source
-    has as many tasks as buckets.
+    has as many tasks as buckets.  With ``encode`` the updates are a stored
+    table without vectors and with every id once, in any order; they get their
+    vectors behind the shuffle, in the tasks that write them.
     """
     folder = _Folder(spark, path)
     snapshot = manifest(spark, path)
@@ -185,17 +188,21 @@ def upsert(
     buckets = snapshot.buckets if snapshot.number >= 0 else buckets
     names = [r["source"] for r in updates.select("source").distinct().collect()]
     sources = snapshot.sources + sorted((n for n in names if n not in snapshot.sources), key=lambda n: (n is None, n))
-    columns = [F.col(c).cast(SCHEMA[c].dataType).alias(c) for c in STORE_SCHEMA.names]
-    latest = dedup_keep_last(updates, ["id"], order).select(*columns, F.sha2("document", 256).alias(DIGEST))
+    columns = [F.col(c).cast(SCHEMA[c].dataType).alias(c) for c in STORE_SCHEMA.names if not encode or c != "vector"]
+    latest = updates if encode else dedup_keep_last(updates, ["id"], order)
+    latest = latest.select(*columns, F.sha2("document", 256).alias(DIGEST))
     placed = _numbered(latest, sources).withColumn("b", _bucket(buckets))
     touched = _touched(_numbered(updates.select("id", "source"), sources).withColumn("b", _bucket(buckets)))
     version = uuid.uuid4().hex
     target = f"{path}/data/{version}"
     stored = _parts(spark, path, snapshot, touched)
-    merged = stored.join(placed.select("id"), "id", "left_anti").select(*SCHEMA.names, "s", "b").unionByName(
-        placed.select(*SCHEMA.names, "s", "b")
-    )
-    merged.hint("rebalance", "s", "b").write.partitionBy("s", "b").parquet(target)
+    kept = stored.join(placed.select("id"), "id", "left_anti").select(*SCHEMA.names, "s", "b")
+    if encode:
+        fresh = encode(dealt_for_vectors(placed, "s", "b")).withColumn("vector", F.col("vector").cast(SCHEMA["vector"].dataType))
+        merged = kept.hint("rebalance", "s", "b").unionByName(fresh.select(*SCHEMA.names, "s", "b"))
+    else:
+        merged = kept.unionByName(placed.select(*SCHEMA.names, "s", "b")).hint("rebalance", "s", "b")
+    merged.write.partitionBy("s", "b").parquet(target)
     sizes = (
         {(r["s"], r["b"]): r["count"] for r in spark.read.parquet(target).groupBy("s", "b").count().collect()} if touched else {}
     )
@@ -224,19 +231,25 @@ def changed_documents(spark: SparkSession, path: str, rows: DataFrame) -> DataFr
 
 
 def embed_batch(
-    spark: SparkSession, rows: DataFrame, path: str, batch: str, encoder: EncoderFactory | None = None, buckets: int = BUCKETS
+    spark: SparkSession, rows: DataFrame, path: str, batch: str, encoder: EncoderFactory | None = None, buckets: int = BUCKETS,
+    unique: bool = False,
 ) -> Manifest:
     """Embed the new and changed documents of a batch and upsert them as one commit.
 
-    The encoded rows are staged in the shared folder, so that a retry of the
-    commit doesn't encode again.
+    The last row of an id in ``_ord`` is compared with the store and staged in
+    the shared folder without its vector, which the upsert adds as it writes.
+    ``unique`` says that every id comes once, so that none need be looked for.
     """
-    changed = changed_documents(spark, path, rows)
-    embedded = add_hash_vector(changed) if encoder is None else model_embed(changed, encoder)
-    staged = fresh_path(spark, "embedded")
+    latest = rows if unique else dedup_keep_last(rows, ["id"])
+    changed = changed_documents(spark, path, latest.drop(ORD))
+
+    def encode(some: DataFrame) -> DataFrame:
+        return add_hash_vector(some) if encoder is None else model_embed(some, encoder)
+
+    staged = fresh_path(spark, "changed")
     try:
-        embedded.write.parquet(staged)
-        return upsert(spark, path, spark.read.parquet(staged), batch, buckets=buckets)
+        changed.write.option("compression", "zstd").parquet(staged)
+        return upsert(spark, path, spark.read.parquet(staged), batch, buckets=buckets, encode=encode)
     finally:
         discard(spark, staged)
 
