@@ -62,6 +62,22 @@ def test_without_names(spark):
     assert gazetteer.link_entities(queries, nothing).first()["named_entities"] == []
 
 
+def test_places_are_not_moved_to_find_names(spark):
+    names = spark.createDataFrame(
+        [("a b c", "X", "1"), ("a", "X", "2"), ("b", "X", "3"), ("c d", "X", "4"), ("d e f g", "X", "5")], "name string, label string, meaning string"
+    )
+    queries = spark.createDataFrame([(1, "a b c d"), (2, "a b a c d e"), (3, "d e f d e f g"), (4, "z")], "query_id long, query string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        linked = gazetteer.link_entities(queries, names)
+        assert "hashpartitioning(first" not in linked._jdf.queryExecution().executedPlan().toString()
+        found = {r["query_id"]: [e["meaning"] for e in r["named_entities"]] for r in linked.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {1: ["1"], 2: ["2", "3", "2", "4"], 3: ["5"], 4: []}
+
+
 def plain_bm25(query, doc, docs):
     lengths = {k: len(split(t)) for k, t in docs.items()}
     average = sum(lengths.values()) / len(docs)

@@ -1,8 +1,8 @@
 """Entities of a text by stored names: the longest names that its words spell.
 
-A name is found by its first word, which tells the lengths that names with it
-have, and then by all its words.  Texts are cut into the word sequences that
-can be a name, no other sequence is ever made, and both steps are equi-joins.
+Texts are cut into the word sequences that can be a name: bitmaps of the names'
+first words with their lengths, and of all their words, are broadcast and let
+hardly any other sequence through.  Those that are left are found by one equi-join.
 """
 
 from __future__ import annotations
@@ -36,27 +36,32 @@ def names_by_words(names: DataFrame, name: str = "name", label: str = "label", m
     )
 
 
-def longest_matches(texts: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, at, n_words, spelled, label, meaning): at each place of a text the longest name that starts there."""
-    lengths = gazetteer.groupBy("first").agg(F.collect_set("n_words").alias("lengths"))
-    longest = gazetteer.agg(F.max("n_words")).first()[0] or 1
+def matches(texts: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, at, n_words, spelled, label, meaning): at each place of a text the names that start there."""
+    # No more numbers than names have different lengths.
+    lengths = sorted(r[0] for r in gazetteer.select("n_words").distinct().collect()) or [1]
     words = texts.select(key, word_sequence(text).alias("_words")).where(F.size("_words") > 0)
     # A place carries no more words than the longest name has.
-    windows = F.transform(F.sequence(F.lit(1), F.size("_words")), lambda i: F.slice("_words", i, longest))
-    places = words.select(key, F.posexplode(windows).alias("at", "window")).withColumn("first", F.col("window")[0])
-    starts = maybe_wanted(places, lengths.select("first"), ["first"]).join(lengths, "first")
-    tried = starts.select(key, "at", "window", F.explode("lengths").alias("n_words")).where(
-        F.col("n_words") <= F.size("window")
-    ).select(key, "at", F.array_join(F.slice("window", F.lit(1), F.col("n_words")), " ").alias("spelled"))
-    found = tried.join(gazetteer.drop("first"), "spelled")
-    best = F.max_by(F.struct("n_words", "spelled", "label", "meaning"), "n_words").alias("best")
-    return found.groupBy(key, "at").agg(best).select(key, "at", "best.*")
+    windows = F.transform(F.sequence(F.lit(1), F.size("_words")), lambda i: F.slice("_words", i, lengths[-1]))
+    places = words.select(key, F.posexplode(windows).alias("at", "window"))
+    starts = places.select(
+        key, "at", "window", F.col("window")[0].alias("first"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n_words")
+    ).where(F.col("n_words") <= F.size("window"))
+    tried = maybe_wanted(starts, gazetteer, ["first", "n_words"]).select(
+        key, "at", F.array_join(F.slice("window", F.lit(1), F.col("n_words")), " ").alias("spelled")
+    )
+    return maybe_wanted(tried, gazetteer, ["spelled"]).join(gazetteer.drop("first"), "spelled").select(
+        key, "at", "n_words", "spelled", "label", "meaning"
+    )
 
 
 def from_the_left(matches: DataFrame, key: str) -> DataFrame:
-    """(key, named_entities): matches in order, without those that start inside the one before that stayed."""
+    """(key, named_entities): matches in order, without those that start inside the one before that stayed.
+
+    Of those at one place the longest comes first, so the others start inside it.
+    """
     listed = matches.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.struct("at", "n_words", F.col("spelled").alias("text"), "label", "meaning")
+        F.struct("at", (-F.col("n_words")).alias("shorter"), "n_words", F.col("spelled").alias("text"), "label", "meaning")
     )).alias("_all"))
     empty = F.struct(F.lit(0).alias("end"), F.array().cast(ENTITIES).alias("kept"))
 
@@ -80,9 +85,9 @@ def link_entities(texts: DataFrame, names: DataFrame, text: str = "query", **col
     linked once; null and empty texts, and those without a name, have none.
     """
     gazetteer = names_by_words(names, **columns)
-    key = F.sha2(to_column(text), 256)
+    key = F.unhex(F.sha2(to_column(text), 256))
     different = texts.where(F.col(text).isNotNull()).select(key.alias("_text_key"), F.col(text).alias("_text")).dropDuplicates(["_text_key"])
-    found = from_the_left(longest_matches(different, gazetteer, "_text_key", "_text"), "_text_key")
+    found = from_the_left(matches(different, gazetteer, "_text_key", "_text"), "_text_key")
     kept = [c for c in texts.columns if c != "named_entities"]
     return texts.select(*kept).withColumn("_text_key", key).join(found, "_text_key", "left").select(
         *kept, F.coalesce("named_entities", F.array().cast(ENTITIES)).alias("named_entities")
