@@ -5,6 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from varlex.operators import knn
+from varlex.operators.embed import add_hash_vector, spread_for_vectors
+from varlex.operators.knn import knn_join
+from varlex.plans.search import embed_queries
 
 DIM, N, Q, K = 8, 900, 40, 5
 
@@ -167,3 +170,26 @@ def test_candidates_may_be_merged_at_any_time(frames, data, monkeypatch, plan):
     for rows in (1, 1 << 20):
         monkeypatch.setattr(knn, "MERGE_ROWS", rows)
         assert got(knn.knn_join(q, c, K, **PLANS[plan])) == brute(data)
+
+
+def test_computed_vectors_are_drawn_once_and_missing_ones_match_nothing(spark):
+    corpus = add_hash_vector(spark.createDataFrame([(str(k), f"t{k}" if k % 3 else None) for k in range(30)], "id string, document string"))
+    queries = embed_queries(spark.createDataFrame([(1, "t4"), (2, "other")], "query_id long, query string"))
+    for filters in ({}, {"max_broadcast_queries": 0}):
+        found = knn_join(queries, corpus, 30, **filters)
+        rows = found.collect()
+        assert {(r["query_id"], int(r["id"])) for r in rows} == {(q, k) for q in (1, 2) for k in range(30) if k % 3}
+        assert [r["id"] for r in rows if r["query_id"] == 1 and r["vector_rank"] == 1] == ["4"]
+        if not filters:
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("ArrowEvalPython") == 1
+
+
+def test_many_short_rows_are_spread_by_their_number(spark):
+    rows = spark.range(9_000).coalesce(1)
+    tasks = spread_for_vectors(rows, "id").rdd.getNumPartitions()
+    assert tasks == min(3, spark.sparkContext.defaultParallelism) > 1
+    few = spark.range(100).coalesce(1)
+    assert spread_for_vectors(few, "id").rdd.getNumPartitions() == 1
+    assert spread_for_vectors(few, "id", counted=rows).rdd.getNumPartitions() == tasks
+    assert sorted(r["id"] for r in spread_for_vectors(rows, "id").collect()) == list(range(9_000))

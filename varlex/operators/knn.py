@@ -242,7 +242,7 @@ def knn_join(
         "query_id", "vector",
         *[F.col(c).alias(f"allowed_{i}") for i, c in enumerate(where.values())], *carry,
     )
-    rows = corpus.where(F.col(vector_column).isNotNull()).select(
+    rows = corpus.select(
         F.col(id_column).alias("id"),
         F.col(vector_column).alias("vector"),
         *[F.col(c).alias(f"value_{i}") for i, c in enumerate(where)],
@@ -255,6 +255,7 @@ def knn_join(
         rows = rows.coalesce(scan_tasks) if scan_tasks else rows
         best = _broadcast_plan(head, rows, k, metric, len(where), schema)
     else:
+        rows = rows.where(F.col("vector").isNotNull())
         best = _block_plan(asked.drop(*carry), rows, k, metric, len(where), schema, block_rows, query_block_rows)
     ranked = first_n(
         best, k, ["query_id"], [F.col("_key").asc(), F.col("id").asc()], "vector_rank", lanes
@@ -289,6 +290,9 @@ def _broadcast_plan(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(_Queries(*shared.value), k, metric, id_type)
         for batch in batches:
+            # Not before: Spark would push the filter down and draw computed vectors a second time for it.
+            if batch.column(1).null_count:
+                batch = batch.filter(batch.column(1).is_valid())
             columns = [batch.column(2 + i) for i in range(filters)]
             _feed(best, batch.column(0).cast(id_type), batch.column(1), columns)
         yield best.batch()
