@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from varlex.llm.common import documents, durable, inputs
+from varlex.llm.common import documents, durable, forget_others, inputs
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -101,6 +101,7 @@ def with_measures(rows: DataFrame, text: str, prefix: str) -> DataFrame:
     names = [prefix + m for m in MEASURES]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             texts = batch.column(text).cast(pa.binary()).to_pylist()
             found = np.array([measures(t) for t in texts], np.int64).reshape(-1, len(names))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.llm.common import documents, durable, inputs, maybe_among, split_groups
+from varlex.llm.common import documents, durable, forget_others, inputs, maybe_among, split_groups
 from varlex.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     """(doc_id, fp): the fingerprint of every row as a signed long."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             found = np.array([fingerprint(t, shingle_words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
