@@ -7,7 +7,8 @@ import tiktoken
 
 import corpus_pipeline
 from fixtures import SCHEMA, no_docs, odd_rows, sentence
-from varlex.llm import bpe_replay
+from varlex.llm import bpe_replay, line_dedup
+from varlex.llm.common import BoundedCache
 
 ITEM = sentence(random.Random(50), 30)
 
@@ -57,6 +58,25 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert counts == {r["doc_id"]: len(library.encode_ordinary(r["text"])) for r in left["decontamination"]}
 
 
+def test_line_stage_links_by_simhash_and_by_edits(spark):
+    """A line without a common 8-gram, whose SimHash is the same, goes like one with a changed word and far SimHash."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    seldom = [rng.choice(letters) + rng.choice(letters) for _ in range(40)]
+    first = "of " + " ".join(f"{w} of" for w in seldom)
+    second = "of " + " ".join(f"{w[0]}{rng.choice('0123456789')} of" for w in seldom)
+    grams = [{t[k : k + line_dedup.GRAM] for k in range(len(t) - line_dedup.GRAM + 1)} for t in (first, second)]
+    assert not grams[0] & grams[1] and line_dedup.similar(first, second)
+    words = sentence(rng, 12).split(" ")
+    third, fourth = " ".join(words), " ".join([*words[:5], "xq", *words[6:]])
+    prints = line_dedup.simhashes([t.split(" ") for t in (first, second, third, fourth)], BoundedCache()).tolist()
+    assert prints[0] == prints[1] and (prints[2] ^ prints[3]).bit_count() > 3 and line_dedup.similar(third, fourth)
+    kept = [f"Kept {k} {sentence(rng, 9)}" for k in range(4)]
+    rows = [(k, f"{text}\n{kept[k]}", "en", "s", 1, None, None, None) for k, text in enumerate((first, second, third, fourth))]
+    found = corpus_pipeline.fuzzy_lines(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert {r["doc_id"]: r["text"] for r in found} == {0: rows[0][1], 1: kept[1], 2: rows[2][1], 3: kept[3]}
+
+
 def test_an_empty_table_stays_empty(spark, tmp_path):
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = no_docs(spark)

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.llm.common import BoundedCache, chunked_matches, documents, inputs, per_worker
+from varlex.llm.common import BoundedCache, chunked_matches, documents, forget_others, inputs, per_worker
 
 END = -1
 SHIFT = 32
@@ -183,6 +183,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(("bpe", path, pattern))
         vocab = vocabulary(path, pattern)
         for batch in batches:
             ids = encode_batch([t or "" for t in batch.column("text").to_pylist()], vocab)
@@ -196,6 +197,7 @@ def decoded(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, data): the bytes that the ids of each row stand for."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(("bpe", path, pattern))
         vocab = vocabulary(path, pattern)
         for batch in batches:
             data = [b"".join(decode(ids, vocab)) for ids in batch.column("ids").to_pylist()]
@@ -210,6 +212,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded rows, in one pass."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(("bpe", path, pattern))
         vocab = vocabulary(path, pattern)
         for batch in batches:
             counts, first, second = [], [], []

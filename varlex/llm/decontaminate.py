@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varlex.llm.common import documents, inputs, per_worker
+from varlex.llm.common import documents, forget_others, inputs, per_worker
 
 Q = 8
 # Edits an occurrence may have, per cent of the item's characters.
@@ -31,9 +31,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _made_tables() -> tuple[np.ndarray, np.ndarray]:
-    points = [chr(c) for c in range(0x110000)]
-    kept = np.fromiter(map(str.isalnum, points), bool, len(points))
-    low = np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in points), np.uint32, len(points))
+    points = 0x110000
+    kept = np.fromiter(map(str.isalnum, map(chr, range(points))), bool, points)
+    low = np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(points))), np.uint32, points)
     return kept, low
 
 
@@ -293,6 +293,7 @@ def contaminated(
     for items in blocks(benchmark, item_id, item_text):
 
         def scan(batches: Iterable[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            forget_others("characters")
             index = Index(items)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
@@ -315,6 +316,7 @@ def drop_contaminated(
     for items in blocks(benchmark, item_id, item_text):
 
         def scan(batches: Iterable[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            forget_others("characters")
             index = Index(items)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
