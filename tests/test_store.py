@@ -112,6 +112,35 @@ def test_only_the_last_row_of_an_id_is_encoded_and_vectors_are_not_staged(spark,
     assert content(spark, path) == [("a", "s", "one"), ("b", "s", "x"), ("c", "s", "y"), ("n", None, "none")]
 
 
+def test_rows_of_few_sources_are_staged_as_they_are_encoded(spark, tmp_path, monkeypatch):
+    """No shuffle of all rows beside the store; files of bounded rows, a task for each; vectors are packed by zstd."""
+    import pyarrow.parquet as pq
+
+    path, plain, staged = str(tmp_path / "store"), str(tmp_path / "plain"), []
+    given = [(f"r{k}", (None, "1", "01", "s t/=")[k % 4], f"text {k}") for k in range(400)]
+    rows = updates(spark, given).drop("vector").coalesce(1)
+    embed_corpus(spark, rows, plain)
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    monkeypatch.setattr(ingest, "VECTOR_ROWS", 30)
+    monkeypatch.setattr(ingest, "discard", lambda s, p: staged.append(p))
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "dealt_for_vectors", lambda *a: pytest.fail("rows are moved again"))
+        embed_corpus(spark, rows, path, sources=["1", "01", "s t/="])
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    kept, found = (scan_vector_store(spark, p) for p in (plain, path))
+    assert content(spark, path) == content(spark, plain) and len(content(spark, path)) == 400
+    assert found.drop("metadata").exceptAll(kept.drop("metadata")).count() == 0
+    metas = [pq.ParquetFile(f).metadata for f in (tmp_path / "store").glob("source=*/*.parquet")]
+    assert max(m.num_rows for m in metas) <= 30 and len(metas) <= 4 * 5 * 8
+    assert {m.row_group(0).column(k).compression for m in metas for k in range(m.num_columns)} == {"ZSTD"}
+    assert "vector" not in spark.read.parquet(staged[0]).columns
+    # A second batch into the same store, with a source that wasn't named.
+    again = [("r0", None, "new"), ("r1", "1", "text 1"), ("x", "another", "x")]
+    embed_corpus(spark, updates(spark, again).drop("vector"), path, sources=["1", "01"])
+    wanted = {**{r[0]: r for r in given}, **{r[0]: r for r in again}}
+    assert sorted(map(str, content(spark, path))) == sorted(map(str, wanted.values()))
+
+
 def test_a_batch_never_loses_rows_of_sources_that_are_not_named(spark, tmp_path):
     path = str(tmp_path / "store")
     embed_corpus(spark, updates(spark, [("p1", "p", "a"), ("q1", "q", "b"), ("q2", "q", "c")]).drop("vector"), path)
